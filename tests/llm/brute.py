@@ -44,3 +44,42 @@ def substring(docs, window):
             seen.add(t)
         out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
     return out
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+
+def shingle_set(t, size=5):
+    w = WORD.findall(lower(t or ""))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def near(docs, size=5, percent=75):
+    """(doc_id, n_shingles, component_id, kept), by comparing all pairs that share a shingle."""
+    sets = [shingle_set(t, size) for _, t in docs]
+    up = list(range(len(docs)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    seen = set()
+    for h in holders.values():
+        for i in h:
+            for j in h:
+                if i < j and (i, j) not in seen:
+                    seen.add((i, j))
+                    n = len(sets[i] & sets[j])
+                    if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                        up[top(i)] = top(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            least[top(i)] = min(d, least.get(top(i), d))
+    return [(d, len(s), least.get(top(i)) if s else d, d == (least.get(top(i)) if s else d)) for i, ((d, _), s) in enumerate(zip(docs, sets))]

@@ -2,7 +2,7 @@
 
 Duplicate search over every position of a corpus would shuffle a row a position. Here documents are packed into blocks of about
 ``block_bytes``; a block sends each bucket one row with the packed, distinct hashes that fall to it, and the bucket answers with one
-row of bits in the same order. A hash is sent once a block however often it occurs there, so a passage that a third of all
+row of bits in the same order. Texts are kept compressed within a block, since blocks are shuffled once a round to meet their answers. A hash is sent once a block however often it occurs there, so a passage that a third of all
 documents hold costs its bucket one entry a block. Blocks are a written table, so that an answer always finds the block it was made for.
 
 Blocks are in doc_id order: a smaller block number means smaller doc_ids, and positions in a block follow the same order.
@@ -11,7 +11,9 @@ Null doc_ids come first; rows that repeat a doc_id stand one after the other, by
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-BLOCK = "block bigint, doc_ids array<bigint>, texts array<binary>"
+SEP = b"\n"
+BLOCK = "block bigint, doc_ids array<bigint>, sizes array<int>, raw bigint, body binary"
 
 
 def build(docs: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
@@ -34,9 +37,11 @@ def build(docs: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
 
         def block():
+            body = SEP.join([*texts, b""])
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))],
-                names=["block", "doc_ids", "texts"],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32()))]
+                + [pa.array([len(body)], pa.int64()), pa.array([pa.compress(body, "zstd", asbytes=True)], pa.binary())],
+                names=["block", "doc_ids", "sizes", "raw", "body"],
             )
 
         for b in batches:
@@ -56,8 +61,15 @@ def build(docs: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
 
 
 def text_bytes(blocks: DataFrame) -> int:
-    size = F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.octet_length(t))
-    return blocks.agg(F.sum(size)).first()[0] or 0
+    return blocks.agg(F.sum("raw")).first()[0] or 0
+
+
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's bytes, and where each text starts and ends."""
+    data = np.frombuffer(pa.decompress(row["body"], row["raw"], "zstd", asbytes=True), np.uint8)
+    sizes = np.asarray(row["sizes"], np.int64)
+    ends = np.cumsum(sizes + len(SEP)) - len(SEP)
+    return data, ends - sizes, ends
 
 
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -116,10 +128,10 @@ def bits_of(answers: list[dict] | None, edges: np.ndarray) -> np.ndarray:
 
 def free_shuffles(spark) -> None:
     """Spark frees the shuffle files of finished rounds when the driver's JVM collects its garbage; the round's objects are gone by now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works on what the first call has found
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,11 +171,11 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def join_texts(texts: list[bytes], sep: bytes = b"\n") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes with ``sep`` after each text, and where each text starts and ends."""
-    data = np.frombuffer(sep.join([*texts, b""]), np.uint8)
+def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes with SEP after each text, and where each text starts and ends."""
+    data = np.frombuffer(SEP.join([*texts, b""]), np.uint8)
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lens + len(sep)) - len(sep)
+    ends = np.cumsum(lens + len(SEP)) - len(SEP)
     return data, ends - lens, ends
 
 

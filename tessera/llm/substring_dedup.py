@@ -30,8 +30,8 @@ _LANE = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 class Words:
     """The words of a block: where they start and end, their document, and hashes of windows of any level's length."""
 
-    def __init__(self, texts: list[bytes], levels: list[int]):
-        self.data, self.doc_starts, self.doc_ends = B.join_texts(texts)
+    def __init__(self, row: dict, levels: list[int]):
+        self.data, self.doc_starts, self.doc_ends = B.unpack(row)
         blank = BLANK[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
         self.start, self.end = edge[::2], edge[1::2]
@@ -89,7 +89,7 @@ def _sender(levels: list[int], buckets: list[int], k: int):
     last = k == len(levels) - 1
 
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        w = Words(row["texts"], levels)
+        w = Words(row, levels)
         at, h = _candidates(w, row, buckets, k)
         if not len(at):
             return
@@ -154,7 +154,7 @@ def _finish(levels: list[int], buckets: list[int], window: int):
         for b in batches:
             for r in range(b.num_rows):
                 row = {n: c[0].as_py() for n, c in zip(b.schema.names, b.slice(r, 1).columns, strict=True)}
-                w = Words(row["texts"], levels)
+                w = Words(row, levels)
                 at, h = _candidates(w, row, buckets, k)
                 uniq, first, inv = np.unique(h, return_index=True, return_inverse=True)
                 bits = B.bits_of(row[f"a{k}"], B.bucket_edges(uniq, buckets[k]))

@@ -44,9 +44,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 class Anchors:
     """The segments of a block: runs of string starts [first, last] with one anchor, their document and their gram's hash."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, row: dict, length: int):
         self.length = length
-        self.data, self.doc_starts, self.doc_ends = B.join_texts(texts)
+        self.data, self.doc_starts, self.doc_ends = B.unpack(row)
         n = len(self.data)
         self.hash = B.Prefix(self.data)
         empty = np.zeros(0, np.int64)
@@ -111,7 +111,7 @@ class Anchors:
 
 def _send_grams(length: int, buckets: int):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        uniq, _, two = Anchors(row["texts"], length).shared_sent()
+        uniq, _, two = Anchors(row, length).shared_sent()
         edges = B.bucket_edges(uniq, buckets)
         low = (uniq & _PLACE).astype(np.uint32)
         for b in np.flatnonzero(np.diff(edges)):
@@ -142,7 +142,7 @@ def _shared(hot: int):
 
 def _send_segments(length: int, buckets: tuple[int, int]):
     def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        a = Anchors(row["texts"], length)
+        a = Anchors(row, length)
         start, end, doc, key = a.candidates(row["a0"], buckets[0])
         one, _ = a.distinct(start, end, doc, key)
         edges = B.bucket_edges(key[one], buckets[1])
@@ -270,7 +270,7 @@ def _finish(length: int, buckets: tuple[int, int]):
         for b in batches:
             for r in range(b.num_rows):
                 row = {n: c[0].as_py() for n, c in zip(b.schema.names, b.slice(r, 1).columns, strict=True)}
-                a = Anchors(row["texts"], length)
+                a = Anchors(row, length)
                 start, end, doc, key = a.candidates(row["a0"], buckets[0])
                 one, index = a.distinct(start, end, doc, key)
                 n = (end - start)[one] - length + 1

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tessera.session import table
 
 
+def _verdicts(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality_classifier as Q
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = Q.held_out(F.col("doc_id"), 3, 1)
+    return _verdicts(Q.score(docs, Q.fit(docs, labels, "quality", learn=~held)), held)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import remove_repeats
 
@@ -21,6 +33,15 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity as X
+    from tessera.llm.quality_classifier import held_out
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = held_out(F.col("doc_id"), 5, 0)
+    return _verdicts(X.score(docs, X.fit(docs, labels, "toxic", learn=~held)), held)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.url_filter import judge
 
@@ -59,8 +80,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filter": op5_url_filter,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,

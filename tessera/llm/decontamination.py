@@ -194,3 +194,10 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, br
         pairs = full.select("doc_id", "item_id", "text", "test").mapInArrow(_contained(size, percent), PAIR)
     most = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_found") / F.col("n_item")).alias("containment"), "n_found", "n_item")).alias("m"))
     return most.select("doc_id", "item_id", "m.n_found", "m.n_item", "m.containment")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item. Rows are told apart by a hash of id and text, so null and repeated ids are judged by row."""
+    row = F.xxhash64("doc_id", "text")
+    found = find(docs.select(row.alias("doc_id"), "text"), items, size, percent).select(F.col("doc_id").alias("_dc_row")).distinct()
+    return docs.withColumn("_dc_row", row).join(found, "_dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -152,3 +152,18 @@ def score(docs: DataFrame, trees: gbt.Trees) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.threshold, trees.leaf, trees.base))  # some 100 kB whatever the input
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _utf8()).mapInArrow(_scored(shared), "doc_id bigint, row bigint, score double")
+
+
+def keep_good(docs: DataFrame, trees: gbt.Trees, at_least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``at_least``."""
+    shared = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.threshold, trees.leaf, trees.base))
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = gbt.Trees(*shared.value)
+        for b in batches:
+            texts = ((k, (t or "").encode()) for k, t in enumerate(b.column(names.index("text")).to_pylist()))
+            good = [s >= at_least for part in S.portions(texts) for s in model.score(statistics([t for _, t in part]))]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

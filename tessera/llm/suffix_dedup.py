@@ -68,7 +68,7 @@ class Anchors:
         self.first = new
         stop = np.flatnonzero(ok & np.concatenate([(where[1:] != where[:-1]) | ~ok[1:], [True]]))
         self.last = stop
-        self.gram = g[where[new]]
+        self.gram = B.mix(g[where[new]])  # anchors have small hashes; these spread over all buckets
         self.doc = np.searchsorted(self.doc_starts, new, "right") - 1
 
     def shared_sent(self):
@@ -302,7 +302,7 @@ def _cut(a: Anchors, doc_ids: list, removed: np.ndarray) -> list[pa.Array]:
     return [pa.array(doc_ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), kept.cast(pa.binary())]
 
 
-def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes: int = 1 << 20, bucket_bytes: float = 3e6) -> DataFrame:
+def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes: int = 1 << 20, bucket_bytes: float = 1e6) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every document of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of smaller doc_id. ``length`` is 2 * GRAM

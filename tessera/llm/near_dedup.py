@@ -5,9 +5,10 @@
    nodes have them. Two nodes that agree in ``T`` of ``K`` coordinates share one of the ``K - T + 1`` rarest of each, so only that prefix is kept
    and long lists are skipped wherever rarer ones decide.
 3. Pairs from the lists are counted over the whole signature, and those with ``T`` matches are confirmed on the full sets. Lists of up to ``SMALL`` nodes
-   give all their pairs. From a longer list each node is paired with the list's first one; when that has given components, only nodes outside the first
-   one's component are compared with the rest, in cells of about ``CELL`` nodes, and only pairs from different components with ``T`` matches leave a cell.
-   Pairs within a component can't change it, so nothing is lost, and a group of many copies costs as many pairs as it has members.
+   give all their pairs. From a longer list each node is paired with the list's most central one (whose values
+   most nodes share); when that has given components, only nodes outside that
+   one's component are compared with the rest, in cells of about ``CELL`` nodes a side; pairs with ``T`` matches are confirmed in the cell, which returns
+   only the links that join components. Pairs within a component can't change it, so nothing is lost, and a group of copies gives no more rows than it has members.
 4. Components are found by smallest-label propagation with pointer jumping.
 
 At similarity 0.75 a pair has fewer than T = 21 of K = 48 matches with probability below 1e-6; every other step is exact.
@@ -30,7 +31,7 @@ from tessera.llm import blocks as B
 from tessera.llm import shingles as S
 from tessera.session import cut
 
-K, T, SMALL, CELL = 48, 21, 16, 512
+K, T, SMALL, CELL = 48, 21, 16, 2048
 _ODD = np.random.default_rng(7).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -95,9 +96,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _matches(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    sig = nodes.select("node", "sig")
-    two = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
+def _matches(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    sig = nodes.select("node", "sig", "n_shingles")
+    two = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
+    two = two.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     n = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return two.where(n >= T).select("a", "b")
 
@@ -108,41 +110,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * both >= percent * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
-def _cells(cell: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a cell with T matches and different components; ``home``: of the list's first component."""
-    left = cell[~cell["home"] & (cell["side"] == 0)]
-    right = cell[cell["side"] == 1]
-    out = []
-    if len(left) and len(right):
-        x, y = np.stack(left["sig"].to_numpy()), np.stack(right["sig"].to_numpy())
-        cx, cy = left["comp"].to_numpy(), right["comp"].to_numpy()
-        nx, ny = left["node"].to_numpy(), right["node"].to_numpy()
-        for i in range(0, len(x), 16):
-            n = (x[i : i + 16, None, :] == y[None, :, :]).sum(axis=2)
-            r, c = np.nonzero((n >= T) & (cx[i : i + 16, None] != cy[None, :]))
-            out.append(np.stack([np.minimum(nx[i + r], ny[c]), np.maximum(nx[i + r], ny[c])], axis=1))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"]).astype("int64")
-
-
-def _across(posts: DataFrame, lists: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Step 3's second half: candidate pairs across components from long lists."""
-    comp = F.coalesce("comp", "node")
-    member = posts.join(lists.where(F.col("n") > SMALL), "token").join(labels, "node", "left").select("token", "node", "first", comp.alias("comp"))
-    heads = member.where(F.col("node") == F.col("first")).select("token", F.col("comp").alias("main"))
-    member = member.join(heads, "token").withColumn("home", F.col("comp") == F.col("main"))
-    sizes = member.groupBy("token").agg(F.count_if("home").alias("inside"), F.count_if(~F.col("home")).alias("outside")).where(F.col("outside") > 0)
+def _cells(percent: int):
+    def cells(cell: pd.DataFrame) -> pd.DataFrame:
+        """Links of a cell between different components, as many as join them: pairs with T matches and sizes that allow it, confirmed on the full sets."""
+        left = cell[cell["side"] == 0]
+        right = cell[cell["side"] == 1]
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            (x, cx, nx, sx), (y, cy, ny, sy) = ((np.stack(d["sig"].to_numpy()), d["comp"].tolist(), d["node"].tolist(), d["items"].tolist()) for d in (left, right))
+            size = np.array([len(v) for v in sy])
+            up: dict = {}
+
+            def top(c):
+                while c in up:
+                    c = up[c]
+                return c
+
+            for i in range(len(x)):
+                n = len(sx[i])
+                near = np.flatnonzero((100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((x[i] == y).sum(axis=1) >= T))
+                mine = top(cx[i])
+                near = [j for j in near.tolist() if top(cy[j]) != mine]
+                if not near:
+                    continue
+                own = np.sort(sx[i])
+                both = np.concatenate([sy[j] for j in near])
+                hit = own[np.minimum(np.searchsorted(own, both), n - 1)] == both
+                some = size[near]
+                both = np.add.reduceat(hit, np.cumsum(some) - some)
+                for j in np.flatnonzero(100 * both >= percent * (n + some - both)).tolist():
+                    other, mine = top(cy[near[j]]), top(cx[i])
+                    if other != mine:
+                        up[mine] = other
+                        links.append((min(nx[i], ny[near[j]]), max(nx[i], ny[near[j]])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return cells
+
+
+def _across(posts: DataFrame, lists: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Step 3's second half: links across components from long lists. Lists with the same first node are looked at together."""
+    long = posts.join(lists.where(F.col("n") > SMALL), "token").select("first", "node").distinct()
+    member = long.join(labels, "node", "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+    heads = member.where(F.col("node") == F.col("first")).select("first", F.col("comp").alias("main"))
+    member = cut(member.join(heads, "first").withColumn("home", F.col("comp") == F.col("main")))
+    sizes = member.groupBy("first").agg(F.count_if("home").alias("inside"), F.count_if(~F.col("home")).alias("outside")).where(F.col("outside") > 0)
     cells = lambda c: F.ceil(F.col(c) / CELL).cast("int")
-    member = member.join(sizes.select("token", cells("inside").alias("ni"), cells("outside").alias("no")), "token")
+    member = member.join(sizes.select("first", cells("inside").alias("ni"), cells("outside").alias("no")), "first")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("ni")).otherwise(F.col("no"))).cast("int")
-    member = member.join(nodes.select("node", "sig"), "node").withColumn("own", own)
+    member = member.withColumn("own", own)
     # cells are (row: a chunk outside, column: a chunk outside (0..no-1) or inside (no..)); a node outside stands in its row once and in its column
     row = F.transform(F.sequence(F.lit(0), F.col("no") + F.col("ni") - 1), lambda j: F.struct(F.col("own").alias("r"), j.alias("c"), F.lit(0).alias("side")))
     column = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda j: F.struct(j.alias("r"), (F.col("own") + F.when(F.col("home"), F.col("no")).otherwise(0)).alias("c"), F.lit(1).alias("side")))
     places = F.when(F.col("home"), column).otherwise(F.concat(row, column))
-    spread = member.select("token", "node", "comp", "home", "sig", F.explode(places).alias("p")).select("token", "p.r", "p.c", "p.side", "node", "comp", "home", "sig")
+    spread = member.select("first", "node", "comp", F.explode(places).alias("p")).select("first", "p.r", "p.c", "p.side", "node", "comp")
     spread = spread.where((F.col("c") >= F.col("r")))  # outside against outside: each pair of chunks once
-    return spread.groupBy("token", "r", "c").applyInPandas(_cells, "a bigint, b bigint").distinct()
+    spread = spread.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    return spread.groupBy("first", "r", "c").applyInPandas(_cells(percent), "a bigint, b bigint")
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -161,16 +185,18 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     )
     tokens = nodes.select("node", F.posexplode("sig").alias("k", "v")).select("node", (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("token"))
     freq = cut(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
-    ranked = tokens.join(freq, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"))
+    ranked = tokens.join(freq, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("weight"))
     # K - size(t) values are the node's alone and come first in its prefix of K - T + 1
-    prefix = ranked.where(F.size("t") >= T).select("node", F.explode(F.slice("t", 1, F.size("t") - (T - 1))).alias("x"))
-    posts = cut(prefix.select("node", F.col("x.token").alias("token")))
-    lists = cut(posts.groupBy("token").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    prefix = ranked.where(F.size("t") >= T).select("node", "weight", F.explode(F.slice("t", 1, F.size("t") - (T - 1))).alias("x"))
+    posts = cut(prefix.select("node", "weight", F.col("x.token").alias("token")))
+    # the first of a list is the node whose values are shared most: among copies of one text, that is the one nearest to all others
+    lists = cut(posts.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("first"), F.count("*").alias("n")).where("n > 1"))
     listed = posts.join(lists, "token")
     star = listed.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
     small = listed.where((F.col("n") > 2) & (F.col("n") <= SMALL) & (F.col("node") != F.col("first"))).select("token", "node")
     rest = small.toDF("token", "a").join(small.toDF("token", "b"), "token").where("a < b").select("a", "b")
-    pairs = _matches(star.union(rest).distinct(), nodes)
+    ordered = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _matches(ordered.union(rest).distinct(), nodes, percent)
 
     wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "row")
     found = rows.join(wanted, "row").select("node", "text").mapInArrow(_full_sets(size), "node bigint, items array<bigint>")
@@ -178,7 +204,7 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     edges = cut(_confirmed(pairs, sets, percent))
     labels = components(edges)
     B.free_shuffles(docs.sparkSession)
-    more = cut(_confirmed(_across(posts, lists, labels, nodes), sets, percent))
+    more = cut(_across(posts, lists, labels, nodes, sets, percent))
     if more.head(1):
         labels = components(edges.union(more))
     owner = nodes.select(*keys, "least", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
@@ -186,3 +212,9 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     of_set = cut(owner.join(least, "comp").select(*keys, "component_id"))
     out = sketch.join(of_set, keys, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "row", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``link`` keeps."""
+    kept = link(docs, size, percent).where("kept").select(F.col("row").alias("_nd_row")).distinct()
+    return docs.withColumn("_nd_row", F.xxhash64("doc_id", "text")).join(kept, "_nd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import config as C
 from tessera.functions import vectors as V
 from tessera.operators.rank import global_rank, top_per_group
+from tessera.session import cut
 
 
 def similarity(corpus: DataFrame, query: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -51,6 +52,7 @@ def fused(rows: DataFrame, rrf_k: int = C.RRF_K) -> Column:
 def hybrid_search(corpus: DataFrame, query: DataFrame, scores: DataFrame, k: int = C.TOP_K, key: str = "doc_id") -> DataFrame:
     """key, sim, bm25, vrank, brank, rrf: reciprocal rank fusion over the whole corpus; rows without a query term have BM25 0 and take part."""
     both = similarity(corpus.select(key, "embedding"), query, key).select(key, "sim").join(scores, key, "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    both = cut(both.select(key, "sim", "bm25"))  # three numbers a row, read once for each rank's bounds and once for the ranks
     ranked = global_rank(global_rank(both, "sim", key, "vrank"), "bm25", key, "brank")
     return ranked.withColumn("rrf", fused(ranked)).orderBy(F.desc("rrf"), key).limit(k)
 

@@ -167,10 +167,27 @@ class Prefix:
             cls._powers[lane] = tuple(out)
         return cls._powers[lane]
 
+    def windows(self, size: int) -> np.ndarray:
+        """The hash of every range of ``size`` bytes, as ``of`` gives it."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def hash_ranges(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0, portion: int = 1 << 20) -> np.ndarray:
+    """``Prefix(data, lane).of(begin, end)`` for ranges in order, with tables of about ``portion`` bytes at a time."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + portion, "right")))
+        b, e = begin[i], end[j - 1]
+        out[i:j] = Prefix(data[b:e], lane).of(begin[i:j] - b, end[i:j] - b)
+        i = j
+    return out
+
+
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes with SEP after each text, and where each text starts and ends."""
     data = np.frombuffer(SEP.join([*texts, b""]), np.uint8)

@@ -5,8 +5,8 @@ All strings of ``length`` bytes that two documents share are found in three step
 1. Partition. A string's anchor is the leftmost of its ``GRAM``-byte grams with the smallest hash, so equal strings have equal
    anchors. One exchange of packed gram hashes (see blocks.py) leaves the anchors that two documents share.
 2. Expansion. The strings with one anchor position form a segment of a document's bytes. A block sends its distinct segments,
-   with the smallest document that holds each, to the bucket of the anchor's hash. The bucket builds a Burrows-Wheeler transform of its distinct segments and
-   expands intervals breadth first: a boundary with common prefix q is carried one character backwards and gives boundaries with common prefix
+   with the smallest document that holds each, to the bucket of the anchor's hash. The bucket builds Burrows-Wheeler transforms of its distinct segments (one for each of ``PARTS``
+   ranges of anchors) and expands intervals breadth first: a boundary with common prefix q is carried one character backwards and gives boundaries with common prefix
    q + 1, so common prefixes come out by increasing value; the expansion stops at ``length``. What has no boundary by then
    is a group of equal strings, and the smallest document of each group is known.
 3. Removal. The answers are bits a segment; each block marks and cuts its own bytes.
@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import blocks as B
 
-GRAM = 16
+GRAM = 20
+#: Transforms a bucket: each takes a part of its range of anchors, so that its arrays stay in a core's cache.
+PARTS = 12
 _PLACE = np.uint64(0xFFFFFFFF)
 
 
@@ -54,10 +56,9 @@ class Anchors:
         self.gram = np.zeros(0, np.uint64)
         if n < length + 1:
             return
-        at = np.arange(n - GRAM + 1)
-        g = self.hash.of(at, at + GRAM)
+        g = self.hash.windows(GRAM)
         # the hash's upper half, then the place: the smallest is the leftmost gram with the smallest hash
-        where = (_sliding_min((g & ~_PLACE) | at.astype(np.uint64), length - GRAM + 1) & _PLACE).astype(np.int64)
+        where = (_sliding_min((g & ~_PLACE) | np.arange(len(g), dtype=np.uint64), length - GRAM + 1) & _PLACE).astype(np.int64)
         ok = np.zeros(len(where), bool)
         for s, e in zip(self.doc_starts, self.doc_ends, strict=True):
             ok[s : max(s, e - length + 1)] = True
@@ -145,19 +146,21 @@ def _send_segments(length: int, buckets: tuple[int, int]):
         a = Anchors(row, length)
         start, end, doc, key = a.candidates(row["a0"], buckets[0])
         one, _ = a.distinct(start, end, doc, key)
-        edges = B.bucket_edges(key[one], buckets[1])
+        fine = B.bucket_edges(key[one], buckets[1] * PARTS)
+        edges = fine[::PARTS]
         for b in np.flatnonzero(np.diff(edges)):
             i = one[edges[b] : edges[b + 1]]
+            parts = np.diff(fine[b * PARTS : (b + 1) * PARTS + 1]).astype(np.uint32)
             sizes = (end[i] - start[i]).astype(np.uint8)
             total = np.cumsum(sizes, dtype=np.int64)
             body = a.data[np.repeat(start[i] - np.concatenate([[0], total[:-1]]), sizes) + np.arange(total[-1])]
-            yield int(b), np.uint32(len(i)).tobytes() + doc[i].astype(np.uint32).tobytes() + sizes.tobytes() + body.tobytes()
+            yield int(b), parts.tobytes() + doc[i].astype(np.uint32).tobytes() + sizes.tobytes() + body.tobytes()
 
     return send
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` (small ints) in the order of at least their first ``depth`` symbols, by doubling."""
+    """Rotations of ``text`` (small ints) in the order of at least their first ``depth`` symbols, by putting ranks of shorter prefixes together."""
     width = int(text.max()).bit_length()
     size = 62 // width
     padded = np.concatenate([text, np.resize(text, size)]).astype(np.int64)
@@ -171,8 +174,12 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         s = key[order]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-        key = (rank << 32) | np.roll(rank, -(size % len(text)))
-        size *= 2
+        bits = len(text).bit_length()
+        ways = max(2, 62 // bits)
+        key = rank
+        for j in range(1, ways):
+            key = (key << bits) | np.roll(rank, -(j * size % len(text)))
+        size *= ways
 
 
 def long_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,41 +187,72 @@ def long_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
     Breadth-first backward extension: level q carries the boundaries of common prefix q - 1 one character back through the
     transform. A row p of the sorted matrix is reached from row i with p = LF(i); its common prefix with the row before is q
-    if some boundary of level q - 1 lies after the last row before i with the same character, and at or before i.
+    if some boundary of level q - 1 lies after the last row before i with the same character, and at or before i. Those boundaries were
+    undecided rows a level ago, so a level works on undecided rows alone, counted in their own order: few are left after some levels.
     """
     order = suffix_order(text, length)
     bwt = text[order - 1]
     i = np.argsort(bwt, kind="stable")  # the row that row p is reached from
     chars = bwt[i]
-    new = np.concatenate([[True], chars[1:] != chars[:-1]])  # common prefix 0
-    found = new.copy()
-    p = np.flatnonzero(~new)
-    here, before = i[p].astype(np.int32), i[p - 1].astype(np.int32)
+    found = np.concatenate([[True], chars[1:] != chars[:-1]])  # common prefix 0
+    p = np.flatnonzero(~found)
+    passed = np.cumsum(found, dtype=np.int32)
+    before, here = i[p - 1], i[p]
+    hit = passed[here] != passed[before]  # common prefix 1
+    # how many undecided rows there are up to the two rows
+    low, high = (before + 1 - passed[before]).astype(np.int32), (here + 1 - passed[here]).astype(np.int32)
     for _ in range(1, length):
-        if not len(p):
-            break
-        passed = np.cumsum(new, dtype=np.int32)
-        hit = passed[here] != passed[before]
-        new[:] = False
-        reached = p[hit]
-        if not len(reached):
+        if not hit.any():
             break
-        new[reached] = True
-        found[reached] = True
-        p, here, before = p[~hit], here[~hit], before[~hit]
+        found[p[hit]] = True
+        passed = np.zeros(len(hit) + 1, np.int32)
+        np.cumsum(hit, out=passed[1:])
+        stay = np.flatnonzero(~hit)
+        p, low, high = p[stay], low[stay], high[stay]
+        down, up = passed[low], passed[high]
+        hit = down != up
+        low, high = low - down, high - up
     return order, found
 
 
+def smallest_holders(body: np.ndarray, start: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """For every string of the segments [start, start + size) of ``body``, segment by segment: the smallest rank of a segment that holds it."""
+    n = size + 1
+    place = np.cumsum(n) - n
+    inside = np.repeat(start - place, n) + np.arange(n.sum())
+    last = place + size
+    inside[last] = 0
+    used = np.zeros(256, np.uint16)
+    used[np.unique(body[inside])] = 1
+    text = np.cumsum(used, dtype=np.uint16)[body[inside]]  # letters from 1; 0 parts the segments
+    text[last] = 0
+    rows, begins = long_groups(text, length)
+    # strings start where at least ``length`` bytes of the segment are left
+    is_string = np.zeros(len(text) + 1, np.int8)
+    is_string[place] += 1
+    is_string[place + n - length] -= 1
+    is_string = np.cumsum(is_string[:-1], dtype=np.int8) > 0
+    who = np.repeat(rank, n)
+    at = np.flatnonzero(is_string[rows])
+    group = np.cumsum(begins)[at]
+    lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    least = np.minimum.reduceat(who[rows[at]], lead)
+    who[rows[at]] = np.repeat(least, np.diff(np.concatenate([lead, [len(at)]])))
+    return who[is_string]
+
+
 def _expand(length: int):
     def answer(block: np.ndarray, payloads: list[bytes]) -> list[bytes]:
         """For each segment and each string in it: does a smaller document than the segment's smallest hold the string?"""
-        docs, sizes, bodies = [], [], []
+        parts, docs, sizes, bodies = [], [], [], []
         for p in payloads:
-            n = int(np.frombuffer(p, np.uint32, 1)[0])
-            docs.append(np.frombuffer(p, np.uint32, n, 4))
-            sizes.append(np.frombuffer(p, np.uint8, n, 4 + 4 * n))
-            bodies.append(np.frombuffer(p, np.uint8, offset=4 + 5 * n))
+            parts.append(np.frombuffer(p, np.uint32, PARTS))
+            n = int(parts[-1].sum())
+            docs.append(np.frombuffer(p, np.uint32, n, 4 * PARTS))
+            sizes.append(np.frombuffer(p, np.uint8, n, 4 * PARTS + 4 * n))
+            bodies.append(np.frombuffer(p, np.uint8, offset=4 * PARTS + 5 * n))
         counts = np.array([len(d) for d in docs])
+        part = np.repeat(np.tile(np.arange(PARTS), len(payloads)), np.concatenate(parts))
         owner = (np.repeat(block, counts).astype(np.int64), np.concatenate(docs).astype(np.int64))
         size, body = np.concatenate(sizes).astype(np.int64), np.concatenate(bodies)
         rank = np.empty(len(size), np.int64)
@@ -224,43 +262,21 @@ def _expand(length: int):
         start = np.cumsum(size) - size
         # segments that several blocks sent are taken once, with the smallest document
         h0, h1 = B.Prefix(body).of(start, start + size), B.Prefix(body, 1).of(start, start + size)
-        order = np.lexsort((rank, h1, h0))
-        new = np.concatenate([[True], (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])])
+        order = np.lexsort((rank, h1, h0, part))
+        new = np.concatenate([[True], (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (part[order][1:] != part[order][:-1])])
         one = order[new]
         index = np.empty(len(size), np.int64)
         index[order] = np.cumsum(new) - 1
-        n1 = size[one] + 1
-        place = np.cumsum(n1) - n1
-        text = np.zeros(n1.sum(), np.uint16)
-        inside = np.repeat(start[one] - place, n1) + np.arange(len(text))
-        last = np.cumsum(n1) - 1
-        inside[last] = 0
-        used = np.zeros(256, np.uint16)
-        used[np.unique(body)] = 1
-        letter = np.cumsum(used).astype(np.uint16)  # 1 and up; 0 parts the segments
-        text = letter[body[inside]]
-        text[last] = 0
-        rows, begins = long_groups(text, length)
-        # strings start where at least ``length`` bytes of the segment are left
-        strings = n1 - length
-        is_string = np.zeros(len(text) + 1, np.int8)
-        is_string[place] += 1
-        is_string[place + strings] -= 1
-        is_string = np.cumsum(is_string[:-1], dtype=np.int8) > 0
-        who = np.repeat(rank[one], n1)
-        at = np.flatnonzero(is_string[rows])
-        group = np.cumsum(begins)[at]
-        lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.minimum.reduceat(who[rows[at]], lead)
-        smallest = np.zeros(len(text), np.int64)
-        smallest[rows[at]] = np.repeat(least, np.diff(np.concatenate([lead, [len(at)]])))
+        cuts = np.searchsorted(part[one], np.arange(PARTS + 1))
+        smallest = np.concatenate([smallest_holders(body, start[k], size[k], rank[k], length) for k in (one[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)) if len(k)])
         # back to every segment that was sent
+        strings = size[one] - length + 1
+        place = np.cumsum(strings) - strings
         n = size - length + 1
-        total = np.cumsum(n)
-        where = np.repeat(place[index] - (total - n), n) + np.arange(total[-1])
+        where = np.repeat(place[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         bits = smallest[where] < np.repeat(rank, n)
-        cuts = np.cumsum(np.add.reduceat(n, np.cumsum(counts) - counts))[:-1]
-        return [np.packbits(x).tobytes() for x in np.split(bits, cuts)]
+        ends = np.cumsum(np.add.reduceat(n, np.cumsum(counts) - counts))[:-1]
+        return [np.packbits(x).tobytes() for x in np.split(bits, ends)]
 
     return answer
 
@@ -274,7 +290,7 @@ def _finish(length: int, buckets: tuple[int, int]):
                 start, end, doc, key = a.candidates(row["a0"], buckets[0])
                 one, index = a.distinct(start, end, doc, key)
                 n = (end - start)[one] - length + 1
-                edges = B.bucket_edges(key[one], buckets[1])
+                edges = B.bucket_edges(key[one], buckets[1] * PARTS)[::PARTS]
                 cum = np.concatenate([[0], np.cumsum(n)])
                 bits = B.bits_of(row["a1"], cum[edges])
                 # each candidate's strings: an earlier document than the segment's smallest has it, or that smallest is not this one
@@ -302,7 +318,7 @@ def _cut(a: Anchors, doc_ids: list, removed: np.ndarray) -> list[pa.Array]:
     return [pa.array(doc_ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), kept.cast(pa.binary())]
 
 
-def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes: int = 1 << 20, bucket_bytes: float = 1e6) -> DataFrame:
+def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes: int = 1 << 20, bucket_bytes: float = 3e6) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every document of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of smaller doc_id. ``length`` is 2 * GRAM
@@ -314,8 +330,8 @@ def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes
     blocks = B.build(docs, block_bytes)
     B.free_shuffles(spark)
     total = B.text_bytes(blocks)
-    # an anchor every 18 bytes or so, 5 bytes each; then about a third of them again with segments of 70 bytes
-    buckets = (B.number_of_buckets(total / 18 * 5, bucket_bytes), B.number_of_buckets(total / 18 * 0.3 * 75, bucket_bytes))
+    # an anchor every 16 bytes or so, 5 bytes each; then about a third of them again with segments of 70 bytes
+    buckets = (B.number_of_buckets(total / 16 * 5, bucket_bytes), B.number_of_buckets(total / 16 * 0.3 * 70, bucket_bytes))
     shared = B.exchange(blocks, _send_grams(length, buckets[0]), _shared(hot))
     B.free_shuffles(spark)
     found = B.exchange(B.with_answers(blocks, [shared]), _send_segments(length, buckets), _expand(length))

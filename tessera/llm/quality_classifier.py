@@ -51,7 +51,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
     doc = np.searchsorted(starts, begin, "right") - 1
     words = np.bincount(doc, minlength=n)
     first = np.cumsum(words) - words
-    h = B.Prefix(data).of(begin, end) if len(begin) else np.zeros(0, np.uint64)
+    h = B.hash_ranges(data, begin, end)
     inner = np.arange(len(h)) - first[doc]
     # segments of words, numbered through the texts; the last one of a text may be short
     segments = -(-words // SEGMENT)

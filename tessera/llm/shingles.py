@@ -34,7 +34,7 @@ def words(texts: list[bytes]):
     edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[data], [True]]).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
     doc = np.searchsorted(starts, begin, "right") - 1
-    h = B.Prefix(data).of(begin, end) if len(begin) else np.zeros(0, np.uint64)
+    h = B.hash_ranges(data, begin, end)
     return h, doc, np.bincount(doc, minlength=len(texts))
 
 

@@ -44,11 +44,12 @@ class Bag:
         begin, end = edge[::2], edge[1::2]
         self.n = len(texts)
         self.doc = np.searchsorted(starts, begin, "right") - 1
-        h = B.Prefix(data).of(begin, end) if len(begin) else np.zeros(0, np.uint64)
+        h = B.hash_ranges(data, begin, end)
         fresh = np.ones(len(h), bool)  # a word said over and over counts once, or its score would fill a segment
         fresh[1:] = (h[1:] != h[:-1]) | (self.doc[1:] != self.doc[:-1])
         begin, end, self.doc = begin[fresh], end[fresh], self.doc[fresh]
-        self.hash, first, self.word = np.unique(h[fresh], return_index=True, return_inverse=True)
+        self.hash, first, word = np.unique(h[fresh], return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
         self._data, self._begin, self._end = data, begin[first], end[first]
 
     def grams(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +76,12 @@ class Bag:
         order = np.argsort(owner, kind="stable")
         return (value[order] % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(pick) + 1))
 
+    def all_grams(self, portion: int = 20000) -> tuple[np.ndarray, np.ndarray]:
+        """``grams`` of all distinct words, worked out in portions."""
+        parts = [self.grams(np.arange(i, min(i + portion, len(self.hash)))) for i in range(0, len(self.hash), portion)]
+        sizes = np.concatenate([np.diff(at) for _, at in parts]) if parts else np.zeros(0, np.int64)
+        return np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+
     def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word, last word + 1 and text of every segment; a text's last segment ends with it, and a text without words has none."""
         count = np.bincount(self.doc, minlength=self.n)
@@ -133,7 +140,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.5,
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
     rng = np.random.default_rng(seed)
     bag = Bag(texts)
-    grams, at = bag.grams(np.arange(len(bag.hash)))
+    grams, at = bag.all_grams()
     sizes = np.diff(at)
     lo, hi, doc = bag.segments()
     label = y[doc] > 0
@@ -216,7 +223,7 @@ def _scored(shared):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 4000, max_chars: int = 20000, **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 8000, max_chars: int = 20000, **kw) -> Model:
     learn = F.lit(True) if learn is None else learn
     short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
     got = sample(short, labels, label, learn, max_rows).select("doc_id", "y", _utf8()).toPandas().sort_values("doc_id")

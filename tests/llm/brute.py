@@ -83,3 +83,62 @@ def near(docs, size=5, percent=75):
         if d is not None:
             least[top(i)] = min(d, least.get(top(i), d))
     return [(d, len(s), least.get(top(i)) if s else d, d == (least.get(top(i)) if s else d)) for i, ((d, _), s) in enumerate(zip(docs, sets))]
+
+
+def nulls_first(rows):
+    return sorted(rows, key=lambda r: [(v is not None, v) for v in r])
+
+
+def line_dedup(docs, min_docs, min_chars=1):
+    blank = " \t\n\x0b\x0c\r"
+    keys = [[lower(x.strip(blank)) for x in (t or "").split("\n")] for _, t in docs]
+    count = {}
+    for k in keys:
+        for x in set(k):
+            count[x] = count.get(x, 0) + 1
+    out = []
+    for (i, t), k in zip(docs, keys):
+        lines = (t or "").split("\n")
+        gone = [len(x) >= min_chars and count[x] >= min_docs for x in k]
+        out.append((i, len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone) if not g)))
+    return out
+
+
+def rule_counts(text):
+    w = WORD.findall(text or "")
+    tri = {}
+    for i in range(len(w) - 2):
+        tri.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + k for at in tri.values() if len(at) > 1 for i in at for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def contained(docs, items, percent=75):
+    out = {}
+    for d, t in docs:
+        own = shingle_set(t)
+        for i, x in items:
+            s = shingle_set(x)
+            n = len(s & own)
+            if s and 100 * n >= percent * len(s):
+                out[d, i] = max(out.get((d, i), (0, 0)), (n, len(s)))
+    return [(d, i, *v) for (d, i), v in out.items()]
+
+
+def pagerank(edges, seeds, kind, damping, iterations):
+    """edges: {(src, dst): n}; kind distrust walks against them."""
+    ways = {}
+    for (a, b), n in edges.items():
+        a, b = (a, b) if kind == "trust" else (b, a)
+        ways.setdefault(a, []).append((b, n))
+    s = {h: 1.0 for h, k in seeds if k == kind}
+    start = dict(s)
+    for _ in range(iterations):
+        new = {h: (1 - damping) for h in start}
+        for a, x in s.items():
+            total = sum(n for _, n in ways.get(a, []))
+            for b, n in ways.get(a, []):
+                new[b] = new.get(b, 0.0) + damping * x * n / total
+        s = new
+    return s

@@ -32,3 +32,18 @@ TOP_K = 20
 GROUP_K = 6
 SNIPPET = 160
 CONTEXT_EACH, CONTEXT_TOTAL, GROUP_EACH = 900, 18000, 1000
+
+
+def from_environment(read=None, path: str | None = None) -> dict[str, str]:
+    """Settings of the generator plug-in: from ``path`` (lines of NAME=value, # comments), overridden by the environment's TESSERA_ names."""
+    import os
+
+    out = {}
+    if path and os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, eq, value = line.strip().partition("=")
+                if eq and not name.startswith("#"):
+                    out[name.strip()] = value.strip().strip("\"'")
+    env = os.environ if read is None else read
+    return out | {k: v for k, v in env.items() if k.startswith("TESSERA_")}

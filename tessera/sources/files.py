@@ -117,8 +117,9 @@ def extract_pages(spark: SparkSession, path: str, extractor: Callable[[str, byte
                 except Exception as e:
                     rows = [{"error": f"{name}: {e}"[:200]}]
                 if rows:
-                    yield pd.DataFrame(rows).reindex(columns=[c.split()[0] for c in full.split(", ")])
+                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
+    names = [c.split()[0] for c in schema.split(", ")] + ["error"]
     full = schema + ", error string"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, full)
 
@@ -135,7 +136,8 @@ def write_postings(posts: DataFrame, path: str, partitions: int) -> None:
 
 def event_lines(df: DataFrame) -> Iterator[str]:
     """Rows as JSON lines, a partition at a time on the driver."""
-    return df.toJSON().toLocalIterator()
+    for r in df.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
+        yield r["line"]
 
 
 def coordinate_frame(points: list[tuple[float, float, int, int, int]], magic: int = 0x56495A31) -> bytes:

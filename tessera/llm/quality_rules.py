@@ -73,10 +73,12 @@ def host_verdicts(base: DataFrame, host_limit: float = 0.5) -> DataFrame:
     """
     hosts = base.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
     raw = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v")).select("m", F.when((F.col("v") > 0) & (F.col("m") * (1 - F.col("m")) / F.col("v") > 1), F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1.0)).alias("ab"))
-    return hosts.join(F.broadcast(prior)).select(  # one row
-        "host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("ab")) / (F.col("n") + F.col("ab"))).alias("rate")
-    ).withColumn("host_failed", F.col("rate") > host_limit)
+    m, v = hosts.agg(F.avg(raw), F.var_pop(raw)).first()  # two numbers
+    if m is None:
+        m, v = 0.0, 0.0
+    ab = m * (1 - m) / v - 1 if v > 0 and m * (1 - m) / v > 1 else 1.0
+    rate = (F.col("failed") + F.lit(m) * F.lit(ab)) / (F.col("n") + F.lit(ab))
+    return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > host_limit).alias("host_failed"))
 
 
 def judge(docs: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:

@@ -38,7 +38,7 @@ ABOUT_NOTICE = r"^关于.{0,40}?(的)?(公告|通知|说明|提示性公告|更
 YEAR_LONG = r"(?<!\d)(20\d{2})[\s_]*年?[\s_]*年度报告"
 YEAR_SHORT = r"(?<!\d)(20\d{2})[\s_]*年?[\s_]*年报[\s_]*(?:[（(][^）)]*[）)])?[\s_]*$"
 #: Characters of readable pages.
-UNREADABLE = r"[^一-鿿＀-￯　-〿A-Za-z0-9 \n\r\t.,;:%()\[\]（）【】・·—–\-+/=]"
+READABLE = r"[一-鿿＀-￯　-〿A-Za-z0-9 \n\r\t.,;:%()\[\]（）【】・·—–\-+/=]"
 PAGE_NUMBER = r"^\s*(\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|第\s*\d+\s*页|共\s*\d+\s*页)\s*$"
 DOT_LEADER = r"^.{2,60}(\.{4,}|…{2,})\s*\d+$"
 STOPWORDS = "的 了 和 与 及 或 为 在 是 等 有 中 上 下 之 其 该 本 我们 公司 以及 其中".split()
@@ -142,10 +142,13 @@ def file_name(raw: Column, most: int = 120) -> Column:
 def page_quality(text: Column, min_chars: int = 80, ratio: float = 0.85, short: int = 8) -> Column:
     """empty, garbled or ok; a short text is ok if it has ``short`` characters, nearly all readable."""
     t = F.coalesce(text, F.lit(""))
-    share = lambda x: F.length(F.regexp_replace(x, UNREADABLE, "")) / F.greatest(F.length(x), F.lit(1))
+    # runs of readable characters are long, so taking them out is quicker than taking out what is left
+    share = lambda x: (F.length(x) - F.length(F.regexp_replace(x, READABLE + "++", ""))) / F.greatest(F.length(x), F.lit(1))
     stripped = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
-    base = F.when(F.length(t) < min_chars, "empty").when(share(t) < ratio, "garbled").otherwise("ok")
-    return F.when((base != "ok") & (F.length(stripped) >= short) & (share(stripped) >= ratio), "ok").otherwise(base)
+    whole = (F.length(t) >= min_chars) & (share(t) >= ratio)
+    # looked at only where the whole text isn't enough
+    clean = (F.length(stripped) >= short) & (share(stripped) >= ratio)
+    return F.when(whole, "ok").when(clean, "ok").when(F.length(t) < min_chars, "empty").otherwise("garbled")
 
 
 def without_cjk_gaps(t: Column) -> Column:

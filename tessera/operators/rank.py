@@ -7,12 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def global_rank(df: DataFrame, score: str, key: str, name: str, buckets: int = 64) -> DataFrame:
+#: Rows of two numbers that one task sorts in a second; more are ranked in buckets.
+ONE_TASK = 1_000_000
+
+
+def global_rank(df: DataFrame, score: str, key: str, name: str, buckets: int = 64, one_task: int = ONE_TASK) -> DataFrame:
     """``df`` with ``name``: 1..N by ``score`` descending, ties by numeric ``key`` ascending.
 
     Rows are cut into ordered buckets at approximate quantiles (of the score; of the key where the score is 0, since a sparse score is 0 almost
     everywhere), numbered within their bucket, and shifted by the rows of the buckets before. Only the bounds and a count a bucket leave the executors.
+    Up to ``one_task`` rows are sorted in one task instead, which gives the same ranks. ``df`` is read more than once, so it should be a written table.
     """
+    if df.count() <= one_task:
+        return df.withColumn(name, F.row_number().over(W.orderBy(F.col(score).desc(), key)).cast("bigint"))
     shares = [i / buckets for i in range(1, buckets)]
     s, k = F.col(score), F.col(key)
     cuts = df.agg(F.percentile_approx(F.when(s != 0, s), shares, 10000).alias("s"), F.percentile_approx(F.when(s == 0, k), shares, 10000).alias("k")).first()

@@ -13,7 +13,7 @@ from tessera.operators import layout
 from tessera.operators import ledger as L
 from tessera.operators import quality as Q
 from tessera.operators import structure as S
-from tessera.session import table
+from tessera.session import cut, table
 
 #: Lines and the headings in them (number, name).
 HEADINGS = [
@@ -59,7 +59,7 @@ def _line_atoms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_chunks(spark: SparkSession, d: str) -> DataFrame:
-    a = _line_atoms(spark, d)
+    a = cut(_line_atoms(spark, d))  # read three times
     return S.chunks(a, S.ranges(a, LATIN), LATIN)
 
 

@@ -223,7 +223,7 @@ def _scored(shared):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 8000, max_chars: int = 20000, **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 8000, max_chars: int = 8000, **kw) -> Model:
     learn = F.lit(True) if learn is None else learn
     short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
     got = sample(short, labels, label, learn, max_rows).select("doc_id", "y", _utf8()).toPandas().sort_values("doc_id")

@@ -55,6 +55,14 @@ def alignment(chunks: DataFrame, vectors: DataFrame, group: str, key: str) -> Da
     return both.groupBy(group).agg(F.count("*").alias("n_chunks"), F.count("_v").alias("n_vectors"), (F.count("*") == F.count("_v")).alias("aligned"))
 
 
+def with_rows(chunks: DataFrame, doc: str = "pdf_id", order: str = "chunk_index") -> DataFrame:
+    """Chunks with their row of the index: 0..N-1 by document, then ``order``. Only a count a document is put in order in one place."""
+    before = W.orderBy(doc).rowsBetween(W.unboundedPreceding, -1)
+    offsets = chunks.groupBy(doc).agg(F.count("*").alias("_n")).select(doc, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(doc).orderBy(order)) - 1
+    return chunks.withColumn("_in", inside).join(offsets, doc).withColumn("row", (F.col("_before") + F.col("_in")).cast("bigint")).drop("_in", "_before")
+
+
 def ordinals(df: DataFrame, col: str, name: str) -> DataFrame:
     """Distinct values of ``col`` numbered from 0 in their order. Values are a dimension: few."""
     values = df.select(col).distinct()

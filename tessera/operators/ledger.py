@@ -86,7 +86,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], drop: DataFrame | Non
 
 
 def renumbered(df: DataFrame, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
-    """Rows numbered from 1 in ``order``; without ``within`` by ``zip``-free range numbering of the ordered keys."""
+    """Rows numbered from 1 in ``order``, within groups if any are stated. Without groups one task sorts all rows: for ledgers, which are small."""
     w = W.partitionBy(*within).orderBy(*order) if within else W.orderBy(*order)
     return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 

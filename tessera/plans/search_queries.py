@@ -92,6 +92,10 @@ def q30_norms(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(v.agg(F.avg("norm").alias("mean_norm"), F.min("norm").alias("min_norm"), F.count("*").alias("n")), "mean_norm", "min_norm")
 
 
+def q30_rows(spark: SparkSession, d: str) -> DataFrame:
+    return I.with_rows(_vectors(spark, d).select("doc_id", "source"), "source", "doc_id")
+
+
 def q31_lookup(spark: SparkSession, d: str) -> DataFrame:
     index = table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), F.col("vec_id").alias("doc_id"))
     docs = table(spark, d, "documents")
@@ -178,7 +182,7 @@ def q42_context(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q31_lookup, q32_dense, q33_bm25, q33_term_stats, q34_keyword, q35_hybrid,
+        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q30_rows, q31_lookup, q32_dense, q33_bm25, q33_term_stats, q34_keyword, q35_hybrid,
         q36_filtered, q37_all_pairs, q37_drift, q38_centroid, q39_robust_box, q39_pca_layout, q40_grouped, q41_map_reduce, q41_reduced, q42_context,
     )
 }
@@ -224,6 +228,7 @@ ORACLE = {
     "q29_stale": "SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de')",
     "q30_alignment": "SELECT source, count(*) AS n_chunks, count(vec_id) AS n_vectors, count(*) = count(vec_id) AS aligned FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source",
     "q30_norms": "SELECT round(avg(n), 6) AS mean_norm, round(min(n), 6) AS min_norm, count(*) AS n FROM (SELECT sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)",
+    "q30_rows": "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS row FROM documents JOIN embeddings ON vec_id = doc_id",
     "q31_lookup": "SELECT vec_id AS row, doc_id, lang, source, sha1(text) AS sha1 FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id = 7",
     "q32_dense": f"WITH {_bm25(TERMS)} SELECT doc_id, round(sim, 6) AS sim FROM si ORDER BY si.sim DESC, doc_id LIMIT 20",
     "q33_bm25": f"WITH {_bm25(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc",

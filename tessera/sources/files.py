@@ -134,6 +134,11 @@ def write_postings(posts: DataFrame, path: str, partitions: int) -> None:
     posts.repartition(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
+def write_index(rows: DataFrame, path: str, by: str = "report_year") -> None:
+    """The merged index, a folder a value of ``by``, so that a filter on it reads those folders alone."""
+    rows.write.mode("overwrite").partitionBy(by).parquet(path)
+
+
 def event_lines(df: DataFrame) -> Iterator[str]:
     """Rows as JSON lines, a partition at a time on the driver."""
     for r in df.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():

@@ -74,6 +74,8 @@ def test_vectors_and_frames(spark, tmp_path):
     assert json.loads(next(FI.event_lines(spark.range(1)))) == {"id": 0}
     FI.write_marked(spark.range(3), str(tmp_path / "m"))
     assert (tmp_path / "m" / "_SUCCESS").exists()
+    FI.write_index(spark.createDataFrame([(1, 2023), (2, 2024)], "k int, report_year int"), str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i")).where("report_year = 2024").first().k == 2
     FI.write_postings(spark.createDataFrame([("b", 1), ("a", 2)], "term string, tf int"), str(tmp_path / "p"), 2)
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
 

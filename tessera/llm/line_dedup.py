@@ -90,9 +90,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     batch = F.pmod(F.xxhash64("_ld_id", "_ld_row"), F.lit(batches)).cast("int")
 
+    # 16 bytes a line: texts are split and hashed once for both the counts and the look-up
+    hashed = cut(rows.select("_ld_id", "_ld_row", _hashes(lines, min_chars).alias("h")))
     path = scratch_dir(spark)
     (
-        rows.select(batch.alias("batch"), F.explode(F.array_distinct(_hashes(lines, min_chars))).alias("key"))
+        hashed.select(batch.alias("batch"), F.explode(F.array_distinct("h")).alias("key"))
         .where(F.col("key").isNotNull())
         .groupBy("batch", "key")
         .agg(F.count("*").alias("n"))
@@ -106,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     common = cut(runs.settled())
     drop_path(spark, path)
 
-    found = rows.select("_ld_id", "_ld_row", F.posexplode(_hashes(lines, min_chars)).alias("_ld_pos", "key")).where(F.col("key").isNotNull())
+    found = hashed.select("_ld_id", "_ld_row", F.posexplode("h").alias("_ld_pos", "key")).where(F.col("key").isNotNull())
     hits = found.join(common, "key", "left_semi").groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_pos").alias("_ld_drop"))
     joined = rows.withColumn("_ld_lines", lines).drop("text").join(hits, ["_ld_id", "_ld_row"], "left")
     n = F.size("_ld_lines")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,9 +75,10 @@ def best_fit(
     text = F.col("text")
     sized = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), length(text).alias("n")).where("n > 0")
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint")))
-    pieces = sized.select("doc_id", "row", "n", start.alias("start")).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most))).drop("n")
-    # portions follow from the number of documents, which needs no text: a third of all rows in one source makes no difference to a hash
-    portions = max(1, -(-docs.select("doc_id").count() // portion))
+    # four numbers a piece, written so that texts are measured once
+    pieces = cut(sized.select("doc_id", "row", "n", start.alias("start")).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most))).drop("n"))
+    # a third of all rows in one source makes no difference to a hash
+    portions = max(1, -(-pieces.count() // portion))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "start"), F.lit(portions)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,11 +5,14 @@ Scores are computed for all rows; texts are joined only for the rows that a quer
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera import config as C
+from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators.rank import global_rank, top_per_group
 from tessera.session import cut
@@ -40,6 +43,29 @@ def bm25(posts: DataFrame, stats: DataFrame, terms: list[str], key: str = "doc_i
     return w.groupBy(key).agg(F.round(F.sum(part), 9).alias("bm25"))
 
 
+def bm25_scan(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", tokenize=T.tokens, p: C.Bm25Params = C.Bm25Params()) -> DataFrame:
+    """What ``bm25`` gives, without an index: texts are tokenized once, into a written table of lengths and of the query's own counts.
+
+    No term is shuffled; the corpus's size, mean length and the terms' document frequencies are a few numbers.
+    """
+    terms = sorted(set(terms))
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("bm25")).limit(0)
+    own = docs.select(key, tokenize(F.col(text)).alias("_t"))
+    own = own.select(key, F.size("_t").cast("bigint").alias("_len"), F.filter("_t", lambda x: x.isin(terms)).alias("_hits"))
+    equals = lambda t: lambda x: x == t
+    counts = [F.least(F.size(F.filter("_hits", equals(t))), F.lit(32767)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    rows = cut(own.select(key, "_len", *counts))
+    n, avg, *df = rows.agg(F.count("*"), F.avg("_len"), *[F.count_if(F.col(f"_tf{i}") > 0) for i in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for i, d in enumerate(df):
+        tf = F.col(f"_tf{i}")
+        idf = math.log(1 + (n - d + 0.5) / (d + 0.5))
+        score = score + F.when(tf > 0, F.lit(idf) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("_len") / F.lit(avg or 1.0)))).otherwise(0.0)
+    hit = F.greatest(F.lit(0), *[F.col(f"_tf{i}") for i in range(len(terms))]) > 0
+    return rows.where(hit).select(key, F.round(score, 9).alias("bm25"))
+
+
 def keyword_search(scores: DataFrame, k: int = C.TOP_K, key: str = "doc_id") -> DataFrame:
     """The k best rows by BM25, those without a positive score left out."""
     return scores.orderBy(F.desc("bm25"), key).limit(k).where("bm25 > 0")

@@ -33,7 +33,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _scores(spark: SparkSession, d: str, terms=TERMS) -> DataFrame:
     c = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return S.bm25(I.postings(c), I.doc_stats(c), terms)
+    return S.bm25_scan(c, terms)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -110,6 +110,12 @@ def q33_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_scores(spark, d), "bm25")
 
 
+def q33_bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same scores from an index: postings and lengths."""
+    c = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return _rounded(S.bm25(I.postings(c), I.doc_stats(c), TERMS), "bm25")
+
+
 def q33_term_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     n = docs.count()
@@ -182,7 +188,7 @@ def q42_context(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q30_rows, q31_lookup, q32_dense, q33_bm25, q33_term_stats, q34_keyword, q35_hybrid,
+        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q30_rows, q31_lookup, q32_dense, q33_bm25, q33_bm25_indexed, q33_term_stats, q34_keyword, q35_hybrid,
         q36_filtered, q37_all_pairs, q37_drift, q38_centroid, q39_robust_box, q39_pca_layout, q40_grouped, q41_map_reduce, q41_reduced, q42_context,
     )
 }
@@ -232,6 +238,7 @@ ORACLE = {
     "q31_lookup": "SELECT vec_id AS row, doc_id, lang, source, sha1(text) AS sha1 FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id = 7",
     "q32_dense": f"WITH {_bm25(TERMS)} SELECT doc_id, round(sim, 6) AS sim FROM si ORDER BY si.sim DESC, doc_id LIMIT 20",
     "q33_bm25": f"WITH {_bm25(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc",
+    "q33_bm25_indexed": f"WITH {_bm25(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc",
     "q33_term_stats": f"""
 WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
 SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM d WHERE df >= 5

@@ -22,6 +22,8 @@ def docs(spark):
 
 def test_bm25(docs):
     got = {r.doc_id: r.bm25 for r in S.bm25(I.postings(docs), I.doc_stats(docs), ["apple", "pear", "apple", "zzz"]).collect()}
+    scan = {r.doc_id: r.bm25 for r in S.bm25_scan(docs, ["apple", "pear", "apple", "zzz"]).collect()}
+    assert scan == got and S.bm25_scan(docs, []).count() == 0
     assert got == {1: pytest.approx(1.418939, abs=1e-6), 2: pytest.approx(0.894383, abs=1e-6), 4: pytest.approx(0.478033, abs=1e-6)}
 
 

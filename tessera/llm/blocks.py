@@ -44,20 +44,22 @@ def build(docs: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
                 names=["block", "doc_ids", "sizes", "raw", "body"],
             )
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if ids and size + len(t) > block_bytes:
-                    yield block()
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t) + 16
+        # a few rows at a time, so that a large batch isn't held twice
+        for i, t in (row for b in batches for k in range(0, b.num_rows, 256) for row in zip(*(c.to_pylist() for c in b.slice(k, 256).columns), strict=True)):
+            if ids and size + len(t) > block_bytes:
+                yield block()
+                number, ids, texts, size = number + 1, [], [], 0
+            ids.append(i)
+            texts.append(t)
+            size += len(t) + 16
         if ids:
             yield block()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8").alias("text"))
-    return cut(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(pack, BLOCK))
+    # the text's beginning parts rows that share an id or have none, in the order they are to stand in
+    dealt = rows.repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 32))
+    return cut(dealt.sortWithinPartitions("doc_id", "text").mapInArrow(pack, BLOCK))
 
 
 def text_bytes(blocks: DataFrame) -> int:

@@ -99,7 +99,7 @@ def candidates(items: Items, value: np.ndarray) -> np.ndarray:
 def _search(shared, size: int, percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value, size)
-        for part in S.portions((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+        for part in S.portions(S.rows_of(batches)):
             value, at = S.shingles([t for _, t in part], size)
             out = []
             for k, (doc, _) in enumerate(part):
@@ -123,7 +123,7 @@ def _postings(size: int, document: bool):
     """(class, round, value, row): a document's in its own class, an item's in every class; class -1 has whole sets, for items of few shingles."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
+        for part in S.portions(S.rows_of(batches)):
             value, at = S.shingles([t for *_, t in part], size)
             cs, rs, vs, ks = [], [], [], []
             for k in range(len(part)):
@@ -144,10 +144,6 @@ def _postings(size: int, document: bool):
     return post
 
 
-def _parts(batches):
-    return S.portions(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-
-
 def _add(cs, rs, vs, ks, c, r, v, row):
     cs.append(np.full(len(v), c, np.int32))
     rs.append(np.full(len(v), r, np.int32))

@@ -43,14 +43,9 @@ def _minima(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
-        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-
-
 def _sketch(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(_texts(batches)):
+        for part in S.portions(S.rows_of(batches)):
             value, at = S.shingles([t for *_, t in part], size)
             n = np.diff(at)
             some = np.flatnonzero(n)
@@ -73,7 +68,7 @@ def _sketch(size: int):
 
 def _full_sets(size: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(_texts(batches)):
+        for part in S.portions(S.rows_of(batches)):
             value, at = S.shingles([t for *_, t in part], size)
             lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(value.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), lists.cast(pa.list_(pa.int64()))], names=["node", "items"])

@@ -119,7 +119,7 @@ def _measured(keep: int):
     """Statistics as an array column behind the first ``keep`` columns; the text is the last one."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        for part in S.portions(S.rows_of(batches)):
             x = statistics([t for *_, t in part])
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], pa.int64()) for k in range(keep)] + [pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y"][:keep] + ["x"])
 
@@ -129,7 +129,7 @@ def _measured(keep: int):
 def _scored(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = gbt.Trees(*shared.value)
-        for part in S.portions(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        for part in S.portions(S.rows_of(batches)):
             s = trees.score(statistics([t for *_, t in part]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array(s)], names=["doc_id", "row", "score"])
 
@@ -161,9 +161,10 @@ def keep_good(docs: DataFrame, trees: gbt.Trees, at_least: float = 0.5) -> DataF
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = gbt.Trees(*shared.value)
-        for b in batches:
-            texts = ((k, (t or "").encode()) for k, t in enumerate(b.column(names.index("text")).to_pylist()))
-            good = [s >= at_least for part in S.portions(texts) for s in model.score(statistics([t for _, t in part]))]
-            yield b.filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                x = statistics([(t or "").encode() for t in b.column(names.index("text")).to_pylist()])
+                yield b.filter(pa.array(model.score(x) >= at_least))
 
     return docs.mapInArrow(keep, docs.schema)

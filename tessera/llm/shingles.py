@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import blocks as B
 from tessera.llm.substring_dedup import BLANK
@@ -14,7 +15,14 @@ LOWER[0x41:0x5B] += 0x20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def portions(rows: Iterator[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
+def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, some at a time, so that a large batch isn't held twice."""
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, step).columns), strict=True)
+
+
+def portions(rows: Iterator[tuple], size: int = 1 << 18) -> Iterator[list[tuple]]:
     """Rows (..., text) in lists of about ``size`` bytes of text."""
     part, n = [], 0
     for row in rows:

@@ -216,7 +216,7 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _scored(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = Model(*shared.value), {}
-        for part in S.portions(row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+        for part in S.portions(S.rows_of(batches)):
             s = model.score([t for *_, t in part], known)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array(s)], names=["doc_id", "row", "score"])
 

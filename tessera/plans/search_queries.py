@@ -1,4 +1,4 @@
-"""Index and search queries over documents that have a vector, with their SQL."""
+"""Index and search queries over documents that have a vector, and over all documents (``_all``) where none is needed, with their SQL."""
 
 from __future__ import annotations
 
@@ -122,10 +122,31 @@ def q33_term_stats(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(I.term_stats(I.postings(docs), F.lit(n)).where("df >= 5"), "idf")
 
 
+def q33_bm25_all(spark: SparkSession, d: str) -> DataFrame:
+    """Scores over all documents: keywords need no vector."""
+    return _rounded(S.bm25_scan(table(spark, d, "documents").select("doc_id", "text"), TERMS), "bm25")
+
+
+def q33_bm25_indexed_all(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "documents").select("doc_id", "text")
+    return _rounded(S.bm25(I.postings(c), I.doc_stats(c), TERMS), "bm25")
+
+
+def q33_term_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every term, the rare ones too."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return _rounded(I.term_stats(I.postings(docs), F.lit(docs.count())), "idf")
+
+
 def q34_keyword(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(S.keyword_search(_scores(spark, d, ["clown", "idiot", "scum"])), "bm25")
 
 
+def q34_keyword_all(spark: SparkSession, d: str) -> DataFrame:
+    scores = S.bm25_scan(table(spark, d, "documents").select("doc_id", "text"), ["clown", "idiot", "scum"])
+    return _rounded(S.keyword_search(scores), "bm25")
+
+
 def q35_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_hybrid(spark, d).select("doc_id", "sim", "bm25", "vrank", "brank", "rrf"), "sim", "bm25", "rrf")
 
@@ -188,7 +209,7 @@ def q42_context(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q30_rows, q31_lookup, q32_dense, q33_bm25, q33_bm25_indexed, q33_term_stats, q34_keyword, q35_hybrid,
+        q01_entry_hybrid, q25_facets, q25_build_meta, q26_group_rows, q27_homogeneous, q28_digests, q29_stale, q30_alignment, q30_norms, q30_rows, q31_lookup, q32_dense, q33_bm25, q33_bm25_indexed, q33_term_stats, q33_bm25_all, q33_bm25_indexed_all, q33_term_stats_all, q34_keyword, q34_keyword_all, q35_hybrid,
         q36_filtered, q37_all_pairs, q37_drift, q38_centroid, q39_robust_box, q39_pca_layout, q40_grouped, q41_map_reduce, q41_reduced, q42_context,
     )
 }
@@ -210,6 +231,18 @@ si AS (SELECT doc_id, lang, source, text, embedding, round(list_inner_product(em
 """
 
 
+def _bm25_all(terms) -> str:
+    """The scores of ``_bm25`` over all documents, with a vector or without."""
+    return f"""
+c AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM c) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avg FROM c),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN ({", ".join(repr(t) for t in terms)}) GROUP BY term),
+sc AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(t) / avg))), 9) AS bm25
+  FROM tf JOIN df USING (term) JOIN c USING (doc_id), st GROUP BY doc_id)
+"""
+
+
 _HYBRID = f"""WITH {_bm25(TERMS)}, rk AS (SELECT *, row_number() OVER (ORDER BY sim DESC, doc_id) AS vrank, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS brank FROM si),
 h AS (SELECT *, 1.0::DOUBLE / (60 + vrank) + 1.0::DOUBLE / (60 + brank) AS rrf FROM rk ORDER BY rrf DESC, doc_id LIMIT 20)
 """
@@ -243,6 +276,13 @@ ORACLE = {
 WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
 SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM d WHERE df >= 5
 """,
+    "q33_bm25_all": f"WITH {_bm25_all(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc",
+    "q33_bm25_indexed_all": f"WITH {_bm25_all(TERMS)} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc",
+    "q33_term_stats_all": f"""
+WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term)
+SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM d
+""",
+    "q34_keyword_all": f"WITH {_bm25_all(['clown', 'idiot', 'scum'])} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc WHERE sc.bm25 > 0 ORDER BY sc.bm25 DESC, doc_id LIMIT 20",
     "q34_keyword": f"WITH {_bm25(['clown', 'idiot', 'scum'])} SELECT doc_id, round(bm25, 6) AS bm25 FROM sc WHERE sc.bm25 > 0 ORDER BY sc.bm25 DESC, doc_id LIMIT 20",
     "q35_hybrid": _HYBRID + "SELECT doc_id, round(sim, 6) AS sim, round(bm25, 6) AS bm25, vrank, brank, round(rrf, 6) AS rrf FROM h",
     "q36_filtered": f"WITH {_bm25(TERMS)} SELECT doc_id, round(sim, 6) AS sim FROM si WHERE lang = 'en' AND contains(source, '1') ORDER BY si.sim DESC, doc_id LIMIT 20",

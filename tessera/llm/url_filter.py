@@ -2,7 +2,7 @@
 
 Rules of (host, path) judge a url first: a rule fits its host and all subdomains if the url's path starts with the rule's, and the longest one wins. A host
 seeds trust if rules allow more than half of its pages, and distrust if they block more than half (a rule for one section of a site says little about the
-rest). Trust flows along links (personalised PageRank); distrust flows against them: who links to a bad host is suspect. A host's pages without a rule are
+rest). Where its pages leave that open, or it has none, the urls that other hosts' pages link to count along with them, each as often as it is linked. Trust flows along links (personalised PageRank); distrust flows against them: who links to a bad host is suspect. A host's pages without a rule are
 blocked if its distrust passes ``limit`` times its trust.
 
 Links are the absolute and scheme-relative hrefs of the pages; those to the page's own host say nothing about other hosts and are left out. Pages are summed to
@@ -44,11 +44,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*tests)
 
 
+def host_links(pages: DataFrame, rules=RULES) -> DataFrame:
+    """src, dst, n, allow, block: links from the pages of one host (empty where the page's url has none) to another, and to how many of their targets rules say so."""
+    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(HREF), F.lit(1))).alias("to"))
+    links = links.withColumn("to", F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to")))
+    links = links.select("src", host_of(F.col("to")).alias("dst"), path_of(F.col("to")).alias("path")).where("dst != '' AND src != dst")
+    links = links.select("src", "dst", rule_of(F.col("dst"), F.col("path"), rules)["verdict"].alias("v"))
+    return links.groupBy("src", "dst").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") == v).alias(v) for v in ("allow", "block")])
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, n: links from the pages of one host to another."""
-    links = pages.select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(HREF), F.lit(1))).alias("to"))
-    links = links.select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit("x:"), "to")).otherwise(F.col("to"))).alias("dst"))
-    return links.where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return host_links(pages).where("src != ''").select("src", "dst", "n")
+
+
+def seeds_of(ruled: DataFrame, links: DataFrame) -> DataFrame:
+    """host, kind of the hosts that seed a walk. ``ruled``: host, v (the verdict of its rule or null), a row a page. ``links``: as of ``host_links``."""
+    kinds = ("allow", "block")
+    own = ruled.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(F.col("v") == v).alias(v) for v in kinds])
+    to = links.groupBy(F.col("dst").alias("host")).agg(*[F.sum(c).alias(f"to_{c}") for c in ("n", *kinds)])
+    both = own.join(to, "host", "full").na.fill(0)
+    pages = lambda v: F.col(v) * 2 > F.col("n")
+    known = lambda v: (F.col(v) + F.col(f"to_{v}")) * 2 > F.col("n") + F.col("to_n")
+    kind = F.when(pages("allow"), "trust").when(pages("block"), "distrust").when(known("allow"), "trust").when(known("block"), "distrust")
+    return both.select("host", kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
@@ -76,10 +95,9 @@ def judge(pages: DataFrame, rules=RULES, limit: float = 1.0, damping: float = 0.
     url = F.col("url")
     ruled = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = cut(ruled.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("v")))
-    share = lambda v: F.count_if(F.col("v") == v) * 2 > F.count("*")
-    seeds = ruled.where("host != ''").groupBy("host").agg(F.when(share("allow"), "trust").when(share("block"), "distrust").alias("kind")).where("kind IS NOT NULL")
-    edges = cut(host_edges(pages))
-    scores = propagate(edges, seeds, damping, iterations)
+    links = cut(host_links(pages, rules))
+    edges = links.where("src != ''").select("src", "dst", "n")
+    scores = propagate(edges, seeds_of(ruled, links), damping, iterations)
     of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k)
     hosts = cut(scores.groupBy("host").agg(of("trust"), of("distrust")))
     out = ruled.join(hosts, "host", "left")

@@ -151,6 +151,27 @@ def test_propagation(spark):
     assert all(verdict[h] == ("block" if d.get(h, 0) > t.get(h, 0) else "allow") for h in hosts if h.endswith("example"))
 
 
+def test_uncrawled_targets_seed(spark):
+    """Hosts without pages seed walks by the urls that are linked; pages that rules judge go before links."""
+    to = lambda *urls: "".join(f'<a href="{u}">' for u in urls)
+    rows = [
+        (0, "http://spam.example/p", to("http://x.net/a", "//y.net/b?c", "http://z.net/c")),
+        (1, "http://fine.example/p", to("http://other.example/", "http://x.org/en/")),
+        (2, "http://part.example/p", to("http://example.com/de/1", "http://example.com/en/1")),  # half of the targets: no seed
+        (3, "http://kept.org/fr/1", to("http://near.example/")),
+        (4, "http://near.example/p", to("http://kept.org/fr/1", "http://kept.org/en/1", "http://kept.org/en/2")),
+        (5, "http://thin.net", None),  # its one page has no rule
+        (6, "http://by.example/p", to("http://thin.net/a", "http://thin.net/b")),
+        (7, None, to("http://lone.net/a")),
+        (8, "http://own.net", to("http://own.net/a", "http://own.net/b")),  # links within a host say nothing
+    ]
+    p = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(p).collect()}
+    assert [i for i, r in sorted(got.items()) if r.verdict == "block"] == [0, 5, 6]
+    assert got[0].distrust > 0 and got[1].distrust == got[2].distrust == got[8].distrust == 0
+    assert got[3].trust > 0 and got[4].trust > 0
+
+
 def test_contained(spark, docs, rows, clashing, empty):
     rng = random.Random(4)
     whole = [t for _, t in rows if t and len(t.split()) > 30]

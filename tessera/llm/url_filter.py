@@ -6,8 +6,8 @@ rest). Where its pages leave that open, or it has none, the urls that other host
 blocked if its distrust passes ``limit`` times its trust.
 
 Links are the absolute and scheme-relative hrefs of the pages; those to the page's own host say nothing about other hosts and are left out. Pages are summed to
-host edges in each task before the shuffle, so a host with a third of all pages costs one row a task and target. Both walks run in one join an iteration; each iteration's
-scores are a written table.
+host edges in each task before the shuffle, so a host with a third of all pages costs one row a task and target. Both walks run in one join an iteration, until scores settle; each iteration's
+scores are a written table, and the one before it goes.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed; so are hosts that neither walk reaches; null html has no links; repeated rows are judged
 one by one and their links count twice; other columns are not read; an empty table gives no rows.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.line_dedup import UPPER
-from tessera.session import cut
+from tessera.session import cut, drop_path, scratch_dir
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -70,27 +70,36 @@ def seeds_of(ruled: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("host", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int = 10) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, iterations: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     """host, kind, score. ``edges``: src, dst, n. ``seeds``: host, kind ('trust' follows links, 'distrust' goes against them), a row a seed.
 
     A walk restarts at its seeds with a weight of 1 each (the sum of the seeds' own walks, so that scores of both kinds compare); what a host
-    without onward edges holds is not passed on.
+    without onward edges holds is not passed on. Without ``iterations`` the walks go on until they reach no new host and no score changes by more than
+    ``tolerance`` of itself.
     """
-    if not edges.head(1):  # nothing to walk along: the scores are the seeds' weights
-        iterations = 0
+    spark = edges.sparkSession
+    walk = iterations != 0 and bool(edges.head(1))  # nothing to walk along: the scores are the seeds' weights
     ways = edges.select("src", "dst", "n", F.lit("trust").alias("kind")).union(edges.select("dst", "src", "n", F.lit("distrust")))
     out = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
-    steps = cut(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w"))) if iterations else None
+    steps = cut(ways.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("w"))) if walk else None
     start = cut(seeds.select("kind", "host", F.lit(1.0).alias("s")))
-    scores = start.withColumnRenamed("s", "score")
-    for _ in range(iterations):
-        moved = scores.join(steps, (scores["kind"] == steps["kind"]) & (scores["host"] == steps["src"])).select(steps["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("x"))
-        back = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("x"))
-        scores = cut(moved.union(back).groupBy("kind", "host").agg(F.sum("x").alias("score")))
+    scores, last, done = start.withColumnRenamed("s", "score"), None, 0
+    while walk:
+        moved = scores.join(steps, (scores["kind"] == steps["kind"]) & (scores["host"] == steps["src"])).select(steps["kind"], F.col("dst").alias("host"), (damping * F.col("score") * F.col("w")).alias("x"), F.lit(0.0).alias("was"))
+        back = start.select("kind", "host", ((1 - damping) * F.col("s")).alias("x"), F.lit(0.0))
+        were = scores.select("kind", "host", F.lit(0.0), F.col("score"))
+        path = scratch_dir(spark)
+        now = cut(moved.union(back).union(were).groupBy("kind", "host").agg(F.sum("x").alias("score"), F.sum("was").alias("was")), path)
+        done += 1
+        walk = done < iterations if iterations is not None else bool(now.where(F.abs(F.col("score") - F.col("was")) > tolerance * F.col("score")).head(1))
+        scores = now.drop("was")
+        if last:
+            drop_path(spark, last)
+        last = path
     return scores
 
 
-def judge(pages: DataFrame, rules=RULES, limit: float = 1.0, damping: float = 0.85, iterations: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, limit: float = 1.0, damping: float = 0.85, iterations: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page (page_id, url, html)."""
     url = F.col("url")
     ruled = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))

@@ -172,6 +172,19 @@ def test_uncrawled_targets_seed(spark):
     assert got[3].trust > 0 and got[4].trust > 0
 
 
+def test_walks_settle(spark):
+    """A host far from the seed is reached, and scores in a cycle are those of the settled walk."""
+    ring = {("c%d" % i, "c%d" % ((i + 1) % 3)): 1 for i in range(3)}
+    edges = {**{("h%02d" % i, "h%02d" % (i + 1)): 1 for i in range(14)}, ("h14", "bad.net"): 1, **ring, ("c0", "bad.net"): 2}
+    e = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n bigint")
+    seeds = [("bad.net", "distrust")]
+    got = {r.host: r.score for r in url_filter.propagate(e, spark.createDataFrame(seeds, "host string, kind string")).collect()}
+    want = brute.pagerank(edges, seeds, "distrust", 0.85, 400)
+    assert got.keys() == want.keys() >= {"h00", "c1"} and all(got[h] == pytest.approx(want[h], rel=1e-4) for h in want)
+    p = spark.createDataFrame([(i, f"http://h{i:02d}.example/p", f'<a href="http://{to}/p">') for i, to in enumerate([*("h%02d.example" % i for i in range(1, 15)), "bad.net"])], "page_id bigint, url string, html string")
+    assert {r.verdict for r in url_filter.judge(p).collect()} == {"block"}
+
+
 def test_contained(spark, docs, rows, clashing, empty):
     rng = random.Random(4)
     whole = [t for _, t in rows if t and len(t.split()) > 30]

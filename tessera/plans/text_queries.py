@@ -157,6 +157,15 @@ def q21_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return merged.groupBy("chunks").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"))
 
 
+def q21_chunk_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    """The new counts of all documents over an earlier state that also holds documents which are gone."""
+    now = _window_chunks(spark, d).groupBy("doc").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    zero = F.lit(0).cast("bigint")
+    before = now.where("chunks > 2").select("doc", zero.alias("chunks"), zero.alias("chars"))
+    gone = now.where("chunks > 20").select((-1 - F.col("doc")).alias("doc"), zero.alias("chunks"), zero.alias("chars"))
+    return L.upsert(before.union(gone), now, ["doc"]).groupBy("chunks").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"))
+
+
 def q22_length_quantiles(spark: SparkSession, d: str) -> DataFrame:
     c = _window_chunks(spark, d).withColumn("n", F.length("text").cast("bigint"))
     q = Q.index_quantiles(c, "n", {"least": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "most": 1.0})
@@ -176,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q10_extraction_stats, q11_page_quality, q12_line_flags, q13_furniture, q13_without_furniture, q14_line_sizes, q15_layout, q16_headings, q17_chapters, q18_paragraphs, q19_chunk_ranges, q20_chunks,
-        q20_chunks_full, q21_chunk_stats, q22_length_quantiles, q23_quality_report, q24_overlap_rate,
+        q20_chunks_full, q21_chunk_stats, q21_chunk_stats_all, q22_length_quantiles, q23_quality_report, q24_overlap_rate,
     )
 }
 
@@ -260,6 +269,9 @@ FROM t WHERE length(text) >= 10
 """,
     "q21_chunk_stats": _WINDOWS
     + """, n AS (SELECT doc, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM w GROUP BY doc), m AS (SELECT CASE WHEN chunks > 20 THEN 0 ELSE chunks END AS chunks, CASE WHEN chunks > 20 THEN 0 ELSE chars END AS chars FROM n)
+SELECT chunks, count(*) AS docs, sum(chars)::BIGINT AS chars FROM m GROUP BY chunks""",
+    "q21_chunk_stats_all": _WINDOWS
+    + """, n AS (SELECT doc, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM w GROUP BY doc), m AS (SELECT chunks, chars FROM n UNION ALL SELECT 0, 0 FROM n WHERE chunks > 20)
 SELECT chunks, count(*) AS docs, sum(chars)::BIGINT AS chars FROM m GROUP BY chunks""",
     "q22_length_quantiles": _WINDOWS
     + """, r AS (SELECT length(text) AS v, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM w)

@@ -51,3 +51,15 @@ def test_joins_and_gaps(spark):
 def test_dates_and_tokens(spark):
     assert values(spark, [1704038400000, 1704034800000], T.announcement_date, "bigint") == ["2024-01-01", "2023-12-31"]
     assert values(spark, ["The a 12 的 我们 x1, THE", None], T.tokens) == [["the", "12", "x1", "the"], []]
+
+
+def test_chunk_stats_of_all_documents(spark, tmp_path):
+    from tessera.plans import text_queries as K
+
+    texts = ["word. " * 5, "Some sentence that is long enough. " * 900]
+    cols = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], cols).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.chunks: (r.docs, r.chars) for r in K.q21_chunk_stats_all(spark, str(tmp_path)).collect()}
+    many = max(got)
+    assert many > 20 and got[many][0] == 1 and got[many][1] >= len(texts[1]) // 2
+    assert got[0] == (1, 0)  # the earlier row of a document that is gone

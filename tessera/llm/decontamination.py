@@ -5,7 +5,8 @@ bins and keeps the minimum of each bin, so however long a document is, a shingle
 probability 0.63 or more. Every item is signed once for each class, with that class's bins. Documents that agree with an item in
 some bin of any of ``ROUNDS`` independent hashes are its candidates: at 75 % containment an item of more than ``FEW`` shingles has 7 chances a round, so it is
 missed with probability 0.37^(7 * ROUNDS) < 1e-9. Items of up to ``FEW`` shingles are looked up by the shingles themselves. Candidates are
-verified by exact containment of the item's distinct shingles.
+verified by exact containment of the item's distinct shingles. An item of fewer words than a shingle has is one shingle, its whole sequence, as a document of so few
+words is: it is found where it is the whole text, never within a longer one.
 
 The items are broadcast where their sketch is at most ``broadcast_bytes``; beyond that, signatures meet by a join on (class, round, bin, value).
 

@@ -164,12 +164,8 @@ def _across(posts: DataFrame, lists: DataFrame, labels: DataFrame, nodes: DataFr
     return spread.groupBy("first", "r", "c").applyInPandas(_cells(percent), "a bigint, b bigint")
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), n_shingles, component_id, kept of every document.
-
-    Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles; component_id is the smallest
-    doc_id reachable.
-    """
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, and comp, the component itself (null for a text without words)."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), text.alias("text"))
     sketch = cut(rows.mapInArrow(_sketch(size), "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>"))
@@ -204,12 +200,39 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
         labels = components(edges.union(more))
     owner = nodes.select(*keys, "least", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop("node")
     least = owner.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_set = cut(owner.join(least, "comp").select(*keys, "component_id"))
+    of_set = cut(owner.join(least, "comp").select(*keys, "component_id", "comp"))
     out = sketch.join(of_set, keys, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "row", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", "component_id", "comp")
+
+
+def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), n_shingles, component_id, kept of every document.
+
+    Documents are linked if 100 * |intersection| >= ``percent`` * |union| of their sets of ``size``-word shingles; component_id is the smallest
+    doc_id reachable.
+    """
+    return _labelled(docs, size, percent).select("doc_id", "row", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``link`` keeps."""
     kept = link(docs, size, percent).where("kept").select(F.col("row").alias("_nd_row")).distinct()
     return docs.withColumn("_nd_row", F.xxhash64("doc_id", "text")).join(kept, "_nd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_a_component(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each component: that of the least doc_id (nulls last), then of the least row hash, then one of equal rows.
+
+    Texts without words are near nothing and stay.
+    """
+    labels = _labelled(docs, size, percent)
+    rows = cut(labels.where("n_shingles > 0").groupBy("comp", "doc_id", "row").agg(F.count("*").alias("n")))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n")).alias("b"))
+    chosen = cut(best.select(F.col("b.row").alias("_nd_row"), (F.col("b.n") > 1).alias("_nd_many")).union(labels.where("n_shingles = 0").select("row", F.lit(False)).distinct()))
+    found = docs.withColumn("_nd_row", F.xxhash64("doc_id", "text"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = found.join(chosen.where("NOT _nd_many"), "_nd_row", "left_semi").select(*names)
+    many = chosen.where("_nd_many")
+    if many.head(1):  # equal rows meet only where there are some
+        out = out.union(found.join(many, "_nd_row", "left_semi").dropDuplicates(["_nd_row"]).select(*names))
+    return out

@@ -60,6 +60,23 @@ def test_near(docs, rows, clashing, empty, monkeypatch):
     assert kept.count() == sum(r[3] for r in want)
 
 
+def test_one_a_component(spark, docs, rows):
+    """Equal rows, near copies under one doc_id and groups without ids leave one row each; texts without words stay."""
+    w = ["t%d" % i for i in range(60)]
+    near = lambda p, k=0: " ".join(p + x for x in w[:-1]) + " end%d" % k
+    groups = [[(1, near("a"))] * 3 + [(4, near("a", 1))], [(2, near("b", k)) for k in range(3)], [(None, near("c", k)) for k in (0, 0, 1)], [(None, near("d")), (9, near("d", 1))], [(None, near("e"))]]
+    made = [r for g in groups for r in g] + [(7, ""), (7, ""), (None, None)]
+    d = spark.createDataFrame(made, "doc_id bigint, text string")
+    got = [tuple(r) for r in near_dedup.one_a_component(d).collect()]
+    assert [sum(r in g for r in got) for g in groups] == [1] * 5 and (1, near("a")) in got and (9, near("d", 1)) in got
+    assert sorted(str(r) for r in got if not r[1]) == sorted(map(str, made[-3:])) and len(got) == 8
+    want = {r[0] for r in brute.near(rows) if r[3]}
+    out = near_dedup.one_a_component(docs)
+    ids = [r.doc_id for r in out.collect()]
+    assert out.columns == docs.columns and set(ids) == want and len(ids) == len(want)
+    assert near_dedup.one_a_component(docs.limit(0)).count() == 0
+
+
 def test_near_chain(spark):
     """Links chain, and a large group of near copies stays whole."""
     import random

@@ -50,3 +50,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def list_paths(spark: SparkSession, folder: str) -> list[str]:
+    """What ``folder`` holds, by name; nothing where there is no such folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(str(f.getPath()) for f in fs.listStatus(p)) if fs.exists(p) else []

@@ -45,6 +45,15 @@ STOPWORDS = "的 了 和 与 及 或 为 在 是 等 有 中 上 下 之 其 该
 TOKEN = r"[\p{L}\p{N}]{2,}"
 
 
+#: Blanks at an end that ``strip`` takes: those of any script, and the four separators U+001C to U+001F.
+_EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+
+
+def strip(t: Column) -> Column:
+    """Without blanks at both ends, whatever kind of blank."""
+    return F.regexp_replace(F.coalesce(t, F.lit("")), _EDGES, "")
+
+
 def norm(t: Column) -> Column:
     """Without blanks and cell separators."""
     return F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)[\s　|]+", "")
@@ -56,7 +65,7 @@ def canon(t: Column) -> Column:
 
 
 def is_dot_leader(t: Column) -> Column:
-    return F.btrim(F.coalesce(t, F.lit(""))).rlike(DOT_LEADER)
+    return strip(t).rlike(DOT_LEADER)
 
 
 def is_page_number(t: Column) -> Column:
@@ -122,21 +131,22 @@ def market(code: Column) -> Column:
 
 def stock_code(raw: Column) -> Column:
     """Six digits, or empty: quotes and a market's suffix go, short codes get zeros."""
-    s = F.btrim(F.btrim(F.coalesce(raw, F.lit(""))), F.lit("'\""))
+    s = F.btrim(strip(raw), F.lit("'\""))
     s = F.regexp_replace(F.regexp_replace(s, r"(?i)\.(SH|SZ|BJ)$", ""), r"\D", "")
     return F.when(F.length(s).between(1, 6), F.lpad(s, 6, "0")).otherwise("")
 
 
 def truth(raw: Column, default: bool = True) -> Column:
-    s = F.lower(F.btrim(F.coalesce(raw, F.lit(""))))
+    s = F.lower(strip(raw))
     return F.when(s.isin("0", "false", "no", "n", "否", "停用"), False).when(s.isin("1", "true", "yes", "y", "是", "启用"), True).otherwise(default)
 
 
 def file_name(raw: Column, most: int = 120) -> Column:
-    """A name that any file system takes."""
-    s = F.btrim(F.regexp_replace(F.regexp_replace(F.coalesce(raw, F.lit("")), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"(?U)\s+", " "), F.lit(" ."))
-    s = F.when(F.upper(s).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\..*)?$"), F.concat(F.lit("_"), s)).otherwise(s)
-    return F.substring(s, 1, most)
+    """A name that any file system takes: characters that some forbid go, runs of blanks are one, and no blank or dot stands at the right end."""
+    s = F.regexp_replace(F.coalesce(raw, F.lit("")), r'[/\\:*?"<>|\n\r\t]', "")
+    s = F.regexp_replace(strip(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]+", " ")), r"[. ]+\z", "")
+    reserved = F.upper(F.substring_index(s, ".", 1)).rlike(r"\A(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])\z")
+    return F.substring(F.when(reserved, F.concat(F.lit("_"), s)).otherwise(s), 1, most)
 
 
 def page_quality(text: Column, min_chars: int = 80, ratio: float = 0.85, short: int = 8) -> Column:
@@ -144,7 +154,7 @@ def page_quality(text: Column, min_chars: int = 80, ratio: float = 0.85, short:
     t = F.coalesce(text, F.lit(""))
     # runs of readable characters are long, so taking them out is quicker than taking out what is left
     share = lambda x: (F.length(x) - F.length(F.regexp_replace(x, READABLE + "++", ""))) / F.greatest(F.length(x), F.lit(1))
-    stripped = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    stripped = strip(t)
     whole = (F.length(t) >= min_chars) & (share(t) >= ratio)
     # looked at only where the whole text isn't enough
     clean = (F.length(stripped) >= short) & (share(stripped) >= ratio)
@@ -186,3 +196,21 @@ def embed_text(company: Column, year: Column, chapter: Column, body: Column) ->
 def output_name(code: Column, name: Column, year: Column, title: Column) -> Column:
     base = F.concat(code, F.lit("_"), file_name(name), F.lit("_"), year.cast("string"), F.lit("年年度报告"))
     return F.concat(base, F.when(title.rlike("修订|更新"), "_修订版").otherwise(""), F.lit(".pdf"))
+
+
+def unquoted(t: Column, plus: bool = False) -> Column:
+    """Percent escapes decoded as UTF-8; ``plus`` reads + as a blank, as in query strings. A text with a broken escape stays as it is."""
+    s = F.coalesce(t, F.lit(""))
+    return F.coalesce(F.try_url_decode(s if plus else F.replace(s, F.lit("+"), F.lit("%2B"))), s)
+
+
+def query_values(url: Column) -> Column:
+    """The parameters after a url's ? and before its # as a map: names and values decoded, the last of a name, those without a value left out."""
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda x: x.contains("=") & ~x.endswith("="))
+    name = lambda x: unquoted(F.substring_index(x, "=", 1), plus=True)
+    value = lambda x: unquoted(F.regexp_extract(x, r"(?s)=(.*)\z", 1), plus=True)
+    # later pairs first, and of each name the first
+    back = F.reverse(F.transform(pairs, lambda x: F.struct(name(x).alias("k"), value(x).alias("v"))))
+    names = F.array_distinct(F.transform(back, lambda x: x["k"]))
+    return F.map_from_entries(F.transform(names, lambda k: F.filter(back, lambda x: x["k"] == k)[0]))

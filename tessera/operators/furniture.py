@@ -26,7 +26,7 @@ def repeated(banded_lines: DataFrame, share: float = SHARE, least: int = LEAST)
 
 def without_furniture(banded_lines: DataFrame, furniture: DataFrame) -> DataFrame:
     """Lines less blank ones, page numbers in a band, and repeated ones of that band."""
-    own = banded_lines.where((F.btrim("text") != "") & ~(F.col("band").isNotNull() & T.is_page_number(F.col("text"))))
+    own = banded_lines.where((T.strip(F.col("text")) != "") & ~(F.col("band").isNotNull() & T.is_page_number(F.col("text"))))
     return own.join(furniture.select("doc", "band", "canon"), ["doc", "band", "canon"], "left_anti")
 
 

@@ -6,11 +6,12 @@ Words are taken by (y0, x0) and by word_no where those are equal, so the order i
 
 from __future__ import annotations
 
-import unicodedata
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
 
 # Gaps and overlaps in points or shares.
 GAP_LOW, GAP_HIGH, X_OVERLAP, ROW_OVERLAP = -1.0, 6.0, 0.5, 0.35
@@ -29,7 +30,7 @@ def glue(before: str, after: str) -> str:
 
 
 def has_digit(s: str) -> bool:
-    return any(unicodedata.category(c) in ("Nd", "No") and c.isdigit() for c in s)
+    return any(c.isdigit() for c in s)
 
 
 class Boxes:
@@ -154,7 +155,5 @@ def page_items(words: DataFrame) -> DataFrame:
 
 def recognised_items(pages: DataFrame) -> DataFrame:
     """doc, page, item_no, kind, text of pages whose text was recognised: a line each, blank ones left out."""
-    from pyspark.sql import functions as F
-
-    lines = pages.select("doc", "page", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("n", "text")).where(F.btrim("text") != "")
-    return lines.select("doc", "page", F.col("n").cast("int").alias("item_no"), F.lit("line").alias("kind"), F.btrim("text").alias("text"))
+    lines = pages.select("doc", "page", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("n", "text")).where(T.strip(F.col("text")) != "")
+    return lines.select("doc", "page", F.col("n").cast("int").alias("item_no"), F.lit("line").alias("kind"), T.strip(F.col("text")).alias("text"))

@@ -22,7 +22,7 @@ FRONT = "前置"
 def flatten_documents(docs: DataFrame) -> DataFrame:
     """doc, item_idx, page, kind, text, size of nested text documents (pages of items), blank items left out."""
     pages = docs.select(F.col("pdf_id").alias("doc"), F.posexplode("pages").alias("_p", "page"))
-    items = pages.select("doc", "_p", F.posexplode("page.items").alias("_i", "item")).where(F.btrim(F.coalesce("item.text", F.lit(""))) != "")
+    items = pages.select("doc", "_p", F.posexplode("page.items").alias("_i", "item")).where(T.strip(F.col("item.text")) != "")
     order = W.partitionBy("doc").orderBy("_p", "_i")
     return items.select("doc", (F.row_number().over(order) - 1).alias("item_idx"), "item.page", "item.kind", "item.text", "item.size")
 
@@ -30,7 +30,7 @@ def flatten_documents(docs: DataFrame) -> DataFrame:
 def lines_as_items(docs: DataFrame, per_page: int = 10) -> DataFrame:
     """Plain texts as items: one a non-blank line, ``per_page`` lines a page."""
     lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
-    lines = lines.where(F.btrim("text") != "")
+    lines = lines.where(T.strip(F.col("text")) != "")
     order = W.partitionBy("doc").orderBy("line_no")
     return lines.select("doc", (F.row_number().over(order) - 1).alias("item_idx"), (F.floor(F.col("line_no") / per_page) + 1).cast("int").alias("page"), F.lit("line").alias("kind"), "text")
 
@@ -172,9 +172,8 @@ def chunks(at: DataFrame, rng: DataFrame, p: ChunkParams, meta: DataFrame | None
     body = inside.groupBy(*key, "first", "last").agg(
         F.sort_array(F.collect_list(F.struct("idx", "text", "page", "page_end"))).alias("x"), F.first("chapter_no").alias("chapter_no"), F.first("chapter_name").alias("chapter_name")
     )
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     body = body.select(
-        *key, "first", "chapter_no", "chapter_name", strip(F.array_join(F.transform("x", lambda a: a["text"]), "\n")).alias("text"), F.col("x")[0]["page"].alias("page_start"), F.element_at("x", -1)["page_end"].alias("page_end")
+        *key, "first", "chapter_no", "chapter_name", T.strip(F.array_join(F.transform("x", lambda a: a["text"]), "\n")).alias("text"), F.col("x")[0]["page"].alias("page_start"), F.element_at("x", -1)["page_end"].alias("page_end")
     ).where("text != ''")
     order = W.partitionBy("doc").orderBy("section", "first")
     front = F.col("chapter_no").isNull()

@@ -151,13 +151,6 @@ def q20_chunks_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q21_chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    now = _window_chunks(spark, d).groupBy("doc").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
-    before = now.where("chunks > 2").select("doc", F.lit(0).cast("bigint").alias("chunks"), F.lit(0).cast("bigint").alias("chars"))
-    merged = L.upsert(before, now.where("chunks <= 20"), ["doc"])
-    return merged.groupBy("chunks").agg(F.count("*").alias("docs"), F.sum("chars").alias("chars"))
-
-
-def q21_chunk_stats_all(spark: SparkSession, d: str) -> DataFrame:
     """The new counts of all documents over an earlier state that also holds documents which are gone."""
     now = _window_chunks(spark, d).groupBy("doc").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
     zero = F.lit(0).cast("bigint")
@@ -176,6 +169,15 @@ def q23_quality_report(spark: SparkSession, d: str) -> DataFrame:
     return Q.report(_window_chunks(spark, d), LATIN).select("doc", "metric", F.round("value", 6).alias("value"), "hard", "ok")
 
 
+def q23_label_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Labels, embedding prefixes and empty documents: German rows lack a company, and every seventh chunk's text to encode lacks its prefix."""
+    docs = table(spark, d, "documents")
+    about = docs.select(F.col("doc_id").alias("doc"), F.when(F.col("lang") == "de", "").otherwise(F.col("source")).alias("company"))
+    chunks = _window_chunks(spark, d).join(about, "doc").withColumn("embed_text", F.when(F.col("chunk_index") % 7 == 0, F.lit("?")).otherwise(F.concat("company", F.lit(" "), "text")))
+    rows = Q.report(chunks, LATIN, docs=about)
+    return rows.where("metric IN ('missing_labels', 'embed_prefix', 'empty_file')").groupBy("metric", "hard", "ok").agg(F.count("*").alias("docs"), F.sum("value").alias("total"))
+
+
 def q24_overlap_rate(spark: SparkSession, d: str) -> DataFrame:
     r = Q.report(_line_chunks(spark, d), LATIN).where("metric IN ('overlap_rate', 'sentence_end_rate')")
     return r.groupBy("metric").agg(F.count("*").alias("docs"), F.count_if("ok").alias("good"))
@@ -185,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         q10_extraction_stats, q11_page_quality, q12_line_flags, q13_furniture, q13_without_furniture, q14_line_sizes, q15_layout, q16_headings, q17_chapters, q18_paragraphs, q19_chunk_ranges, q20_chunks,
-        q20_chunks_full, q21_chunk_stats, q21_chunk_stats_all, q22_length_quantiles, q23_quality_report, q24_overlap_rate,
+        q20_chunks_full, q21_chunk_stats, q22_length_quantiles, q23_quality_report, q23_label_checks, q24_overlap_rate,
     )
 }
 
@@ -268,9 +270,6 @@ SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY idx))::INTEGER AS chun
 FROM t WHERE length(text) >= 10
 """,
     "q21_chunk_stats": _WINDOWS
-    + """, n AS (SELECT doc, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM w GROUP BY doc), m AS (SELECT CASE WHEN chunks > 20 THEN 0 ELSE chunks END AS chunks, CASE WHEN chunks > 20 THEN 0 ELSE chars END AS chars FROM n)
-SELECT chunks, count(*) AS docs, sum(chars)::BIGINT AS chars FROM m GROUP BY chunks""",
-    "q21_chunk_stats_all": _WINDOWS
     + """, n AS (SELECT doc, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM w GROUP BY doc), m AS (SELECT chunks, chars FROM n UNION ALL SELECT 0, 0 FROM n WHERE chunks > 20)
 SELECT chunks, count(*) AS docs, sum(chars)::BIGINT AS chars FROM m GROUP BY chunks""",
     "q22_length_quantiles": _WINDOWS
@@ -286,6 +285,12 @@ m AS (SELECT doc, count(*) FILTER (WHERE chapter IS NULL)::DOUBLE AS missing_lab
 SELECT doc, metric, round(value, 6) AS value, metric NOT IN ('sentence_end_rate', 'overlap_rate') AS hard,
   CASE metric WHEN 'sentence_end_rate' THEN value >= 0.90::DOUBLE WHEN 'overlap_rate' THEN value >= 0.99::DOUBLE ELSE value = 0 END AS ok FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (doc)) INTO NAME metric VALUE value)
 """,
+    "q23_label_checks": _WINDOWS
+    + """, c AS (SELECT doc, chunk_index, chapter, CASE WHEN lang = 'de' THEN '' ELSE source END AS company FROM w JOIN documents ON doc_id = doc),
+m AS (SELECT doc, count(*) FILTER (WHERE company = '' OR coalesce(chapter, '') = '')::DOUBLE AS missing, count(*) FILTER (WHERE chunk_index % 7 = 0 AND company <> '')::DOUBLE AS prefix FROM c GROUP BY doc),
+r AS (SELECT 'missing_labels' AS metric, TRUE AS hard, missing AS value FROM m UNION ALL SELECT 'embed_prefix', TRUE, prefix FROM m
+  UNION ALL SELECT 'empty_file', FALSE, 1 FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc FROM w)))
+SELECT metric, hard, value = 0 AS ok, count(*) AS docs, sum(value) AS total FROM r GROUP BY ALL""",
     "q24_overlap_rate": _RANGES
     + """, t AS (SELECT o.doc, o.idx, regexp_replace(string_agg(a.text, chr(10) ORDER BY a.idx), '^\\s+|\\s+$', '', 'g') AS text FROM o JOIN a ON a.doc = o.doc AND a.idx BETWEEN o.idx AND o.cut GROUP BY o.doc, o.idx),
 x AS (SELECT *, lead(text) OVER (PARTITION BY doc ORDER BY idx) AS nxt FROM t WHERE length(text) >= 10),

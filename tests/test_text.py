@@ -25,7 +25,11 @@ def test_numerals(spark):
 
 def test_codes_and_names(spark):
     assert values(spark, [" '600519' ", "703.sz", "1234567", None, "abc"], T.stock_code) == ["600519", "000703", "", "", ""]
-    assert values(spark, ["a/b:c", "con", "x. ", None], T.file_name) == ["a_b_c", "_con", "x", ""]
+    assert values(spark, ["a/b:c", "con", "x. ", None, "  .x ", "NUL.txt", "a\t b\u3000 c"], T.file_name) == ["abc", "_con", "x", "", ".x", "_NUL.txt", "a b c"]
+    assert values(spark, ["\t x\u3000", "\x1cy\xa0", None], T.strip) == ["x", "y", ""]
+    assert values(spark, ["a ...... 3\t", "\u3000a ...... 3"], T.is_dot_leader) == [True, True]
+    assert values(spark, ["a%20b+c", "%E4%B8%AD", "100%"], T.unquoted) == ["a b+c", "中", "100%"]
+    assert values(spark, ["/x?a=1&b=&a=2+3&c=%26#d=4", "no", None], T.query_values) == [{"a": "2 3", "c": "&"}, {}, {}]
     assert values(spark, ["0", "否", "Yes", None, "?"], T.truth) == [False, False, True, True, True]
 
 
@@ -59,7 +63,7 @@ def test_chunk_stats_of_all_documents(spark, tmp_path):
     texts = ["word. " * 5, "Some sentence that is long enough. " * 900]
     cols = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], cols).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.chunks: (r.docs, r.chars) for r in K.q21_chunk_stats_all(spark, str(tmp_path)).collect()}
+    got = {r.chunks: (r.docs, r.chars) for r in K.q21_chunk_stats(spark, str(tmp_path)).collect()}
     many = max(got)
     assert many > 20 and got[many][0] == 1 and got[many][1] >= len(texts[1]) // 2
     assert got[0] == (1, 0)  # the earlier row of a document that is gone

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import config as C
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize=T.tokens) -> DataFrame:
-    """term, key, tf (32767 at most). Terms are counted within each task before the shuffle."""
+    """term, key, tf. Terms are counted within each task before the shuffle."""
     terms = docs.select(key, F.explode(tokenize(F.col(text))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.least(F.count("*"), F.lit(32767)).cast("int").alias("tf"))
+    return terms.groupBy(key, "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize=T.tokens) -> DataFrame:
@@ -21,6 +24,55 @@ def doc_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize
     return docs.select(key, F.size(tokenize(F.col(text))).cast("bigint").alias("doc_len"))
 
 
+class StoredIndex:
+    """A keyword index in a folder, which queries read: ``postings`` (term, key, tf, doc_len), a folder a share of the terms and in their order within a file; ``terms`` (term, df) likewise; ``corpus`` (one row: n, avg).
+
+    A query reads the folders of its terms, and in them the row groups that hold these. Lengths stand with the postings, so scoring joins nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "doc_id"):
+        self.spark, self.path, self.key = spark, path, key
+        self._postings, self._terms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms"))
+        self.n, self.avg, self.shares = spark.read.parquet(f"{path}/corpus").first()
+
+    @staticmethod
+    def _share(term: Column, shares: int) -> Column:
+        return F.pmod(F.hash(term), F.lit(shares))
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenize=T.tokens, shares: int = 16) -> StoredIndex:
+        """Texts are tokenized once. ``shares``: folders; some hundred megabytes each are a good size."""
+        own = docs.select(key, tokenize(F.col(text)).alias("_t")).select(key, "_t", F.size("_t").alias("doc_len"))
+        # counted within a document first: a row a term of it, however often it says it
+        counted = own.select(key, "doc_len", F.explode("_t").alias("term")).groupBy(key, "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
+        placed = counted.withColumn("share", cls._share(F.col("term"), shares))
+        placed.repartition(F.col("share"), F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("share", "term", key).write.mode("overwrite").partitionBy("share").parquet(f"{path}/postings")
+        posts = docs.sparkSession.read.parquet(f"{path}/postings")
+        terms = posts.groupBy("share", "term").agg(F.count("*").alias("df"))
+        terms.repartition("share").sortWithinPartitions("share", "term").write.mode("overwrite").partitionBy("share").parquet(f"{path}/terms")
+        n = F.lit(docs.count())  # documents without tokens count too
+        sizes = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(n.alias("n"), (F.col("tokens") / F.greatest(n, F.lit(1))).alias("avg"), F.lit(shares).alias("shares"))
+        sizes.write.mode("overwrite").parquet(f"{path}/corpus")
+        return cls(docs.sparkSession, path, key)
+
+    def _of(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        shares = self.spark.range(1).select(F.array(*[self._share(F.lit(t), self.shares) for t in terms]).alias("s")).first()["s"]
+        return table.where(F.col("share").isin(sorted(set(shares))) & F.col("term").isin(terms))
+
+    def scores(self, terms: list[str], p: C.Bm25Params = C.Bm25Params()) -> DataFrame:
+        """key, bm25 of the rows that hold a query term; each term counts once."""
+        terms = sorted(set(terms))
+        if not terms:
+            return self._postings.select(self.key, F.lit(0.0).alias("bm25")).limit(0)
+        df = {r["term"]: r["df"] for r in self._of(self._terms, terms).collect()}  # a row a query term
+        idf = F.lit(0.0)
+        for t, d in sorted(df.items()):
+            idf = F.when(F.col("term") == t, F.lit(math.log(1 + (self.n - d + 0.5) / (d + 0.5)))).otherwise(idf)
+        tf, avg = F.col("tf"), F.lit(float(self.avg or 1.0))
+        part = idf * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * F.col("doc_len") / avg))
+        return self._of(self._postings, terms).groupBy(self.key).agg(F.round(F.sum(part), 9).alias("bm25"))
+
+
 def term_stats(posts: DataFrame, n_docs: Column) -> DataFrame:
     """term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))

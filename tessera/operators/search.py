@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera import config as C
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators.rank import global_rank, top_per_group
+from tessera.operators.rank import ONE_TASK, global_rank, top_per_group
 from tessera.session import cut
 
 
@@ -54,7 +54,7 @@ def bm25_scan(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str
     own = docs.select(key, tokenize(F.col(text)).alias("_t"))
     own = own.select(key, F.size("_t").cast("bigint").alias("_len"), F.filter("_t", lambda x: x.isin(terms)).alias("_hits"))
     equals = lambda t: lambda x: x == t
-    counts = [F.least(F.size(F.filter("_hits", equals(t))), F.lit(32767)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+    counts = [F.size(F.filter("_hits", equals(t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
     rows = cut(own.select(key, "_len", *counts))
     n, avg, *df = rows.agg(F.count("*"), F.avg("_len"), *[F.count_if(F.col(f"_tf{i}") > 0) for i in range(len(terms))]).first()
     score = F.lit(0.0)
@@ -75,11 +75,14 @@ def fused(rows: DataFrame, rrf_k: int = C.RRF_K) -> Column:
     return 1.0 / (rrf_k + F.col("vrank")) + 1.0 / (rrf_k + F.col("brank"))
 
 
-def hybrid_search(corpus: DataFrame, query: DataFrame, scores: DataFrame, k: int = C.TOP_K, key: str = "doc_id") -> DataFrame:
-    """key, sim, bm25, vrank, brank, rrf: reciprocal rank fusion over the whole corpus; rows without a query term have BM25 0 and take part."""
+def hybrid_search(corpus: DataFrame, query: DataFrame, scores: DataFrame, k: int = C.TOP_K, key: str = "doc_id", one_task: int = ONE_TASK) -> DataFrame:
+    """key, sim, bm25, vrank, brank, rrf: reciprocal rank fusion over the whole corpus; rows without a query term have BM25 0 and take part.
+
+    ``one_task``: see ``global_rank``.
+    """
     both = similarity(corpus.select(key, "embedding"), query, key).select(key, "sim").join(scores, key, "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     both = cut(both.select(key, "sim", "bm25"))  # three numbers a row, read once for each rank's bounds and once for the ranks
-    ranked = global_rank(global_rank(both, "sim", key, "vrank"), "bm25", key, "brank")
+    ranked = global_rank(global_rank(both, "sim", key, "vrank", one_task=one_task), "bm25", key, "brank", one_task=one_task)
     return ranked.withColumn("rrf", fused(ranked)).orderBy(F.desc("rrf"), key).limit(k)
 
 

@@ -16,6 +16,7 @@ from tessera.functions import vectors as V
 from tessera.operators import aggregate as A
 from tessera.operators import index as I
 from tessera.operators import search as S
+from tessera.session import cut, scratch_dir
 
 KEPT_QUERIES = 24
 
@@ -23,9 +24,10 @@ KEPT_QUERIES = 24
 class Corpus:
     """``chunks``: doc_id (numeric row), text, embedding, company, report_year, chapter, page, chunk_id."""
 
-    def __init__(self, chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], tokenize=T.tokens):
+    def __init__(self, chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], tokenize=T.tokens, index: I.StoredIndex | None = None):
+        """``index``: the stored keyword index of ``chunks``; without one, it is built and written once, here."""
         self.spark, self.chunks, self.encode, self.tokenize = chunks.sparkSession, chunks, encode, tokenize
-        self.postings, self.stats = I.postings(chunks, tokenize=tokenize), I.doc_stats(chunks, tokenize=tokenize)
+        self.index = I.StoredIndex.build(chunks, scratch_dir(self.spark), tokenize=tokenize) if index is None else index
         self.queries: OrderedDict[int, dict] = OrderedDict()
         self._next = 0
 
@@ -36,7 +38,7 @@ class Corpus:
         return self.spark.createDataFrame([([float(x) for x in self.encode([P.question(question)])[0]],)], "embedding array<float>")
 
     def scores(self, question: str) -> DataFrame:
-        return S.bm25(self.postings, self.stats, self._terms(question))
+        return self.index.scores(self._terms(question))
 
     def retrieve(self, question: str, k: int = C.TOP_K) -> tuple[int, DataFrame]:
         """The query's number and its neighbours: rank, ids, both scores and ranks, snippet. The last ``KEPT_QUERIES`` are remembered."""
@@ -44,6 +46,7 @@ class Corpus:
         found = S.hybrid_search(self.chunks.select("doc_id", "embedding"), vec, self.scores(question), k)
         found = S.top_per_group(found.withColumn("_g", F.lit(0)), ["_g"], [F.desc("rrf"), F.col("doc_id")], k).drop("_g")
         rows = found.select("rank", "doc_id", "sim", "bm25", "rrf", "vrank", "brank").join(self.chunks.drop("embedding"), "doc_id").withColumn("snippet", F.substring("text", 1, C.SNIPPET))
+        rows = cut(rows)  # k rows, which contexts and answers read again
         self._next += 1
         self.queries[self._next] = {"question": question, "vector": vec, "rows": rows}
         while len(self.queries) > KEPT_QUERIES:
@@ -93,3 +96,11 @@ class Corpus:
         """One row: sizes, and the values of the facets."""
         seen = lambda c: F.sort_array(F.collect_set(c)).alias(f"{c}s")
         return self.chunks.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), seen("company"), seen("report_year"), seen("chapter"))
+
+    def health(self) -> dict[str, bool]:
+        """What is ready: rows, the keyword index, and the encoder (tried on one text)."""
+        try:
+            encoder = len(self.encode([P.question("ready")])[0]) > 0
+        except Exception:  # whatever a plug-in raises, it isn't ready
+            encoder = False
+        return {"rows": bool(self.chunks.head(1)), "keyword_index": bool(self.index.n), "encoder": encoder}

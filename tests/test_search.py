@@ -144,7 +144,7 @@ def test_keywords_need_no_vector(spark, tmp_path):
     texts = ["a clown here", "idiot and clown and clown", "nothing of it", "one scum alone"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0])], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    ids = {n: sorted(r.doc_id for r in K.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("q33_bm25_all", "q33_bm25_indexed_all", "q34_keyword_all")}
-    assert ids == {"q33_bm25_all": [0, 1], "q33_bm25_indexed_all": [0, 1], "q34_keyword_all": [0, 1, 3]}
-    df = {r.term: r.df for r in K.QUERIES["q33_term_stats_all"](spark, str(tmp_path)).collect()}
+    ids = {n: sorted(r.doc_id for r in K.QUERIES[n](spark, str(tmp_path)).collect()) for n in ("q33_bm25", "q33_bm25_indexed", "q34_keyword")}
+    assert ids == {"q33_bm25": [0, 1], "q33_bm25_indexed": [0, 1], "q34_keyword": [0, 1, 3]}
+    df = {r.term: r.df for r in K.QUERIES["q33_term_stats"](spark, str(tmp_path)).collect()}
     assert df["clown"] == 2 and df["scum"] == 1 and len(df) == len({w for t in texts for w in t.split() if len(w) > 1})

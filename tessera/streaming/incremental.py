@@ -9,35 +9,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.ledger import first_wins, upsert
-from tessera.session import scratch_dir
+from tessera.session import drop_path, list_paths, scratch_dir
 
 
 class Versions:
-    """A keyed table as a series of written versions: a batch writes the next one, readers see the last finished one."""
+    """A keyed table in a folder, dealt by a hash of the key into ``buckets``: a batch rewrites the buckets it touches and then writes which folder holds each bucket.
 
-    def __init__(self, spark: SparkSession, key: list[str], schema: str):
-        self.spark, self.key, self.schema, self.base, self.current = spark, key, schema, scratch_dir(spark), None
+    That list is the commit: readers see the last one that was finished, and a table opened again by the same ``base`` goes on from it. A folder that neither this list nor the one
+    before names is removed.
+    """
 
-    def read(self) -> DataFrame:
-        if self.current is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.current)
+    def __init__(self, spark: SparkSession, key: list[str], schema: str, base: str | None = None, buckets: int = 16):
+        self.spark, self.key, self.schema, self.base, self.buckets = spark, key, schema, base or scratch_dir(spark), buckets
+        self.held: dict[int, str] = {}
+        self._before: set[str] = set()
+        done = [p for p in list_paths(spark, f"{self.base}/commits") if any(x.endswith("/_SUCCESS") for x in list_paths(spark, p))]
+        if done:
+            last = max(done, key=lambda p: int(p.rsplit("=", 1)[1]))
+            self.held = {r["bucket"]: r["path"] for r in spark.read.parquet(last).collect()}  # a row a bucket
 
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """Upserts a batch, the latest row of each key. The version's name is the batch's number: a batch that is run again writes the same version."""
-        target = f"{self.base}/v{number}"
-        upsert(self.read(), batch, self.key).write.mode("overwrite").parquet(target)
-        self.current = target
+    def _bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        paths = [p for b, p in sorted(self.held.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
+    def touched(self, batch: DataFrame) -> list[int]:
+        return [r["_bucket"] for r in self._bucket(batch).select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
 
-def stream_upsert(stream: DataFrame, key: list[str], order: list[str], schema: str, changed: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
-    """Runs ``stream`` over what is there now, and returns the table by key with each key's last row by ``order``."""
-    spark = stream.sparkSession
-    versions = Versions(spark, key, schema)
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Upserts a batch, a row of each key. Folders have the batch's number: a batch that is run again writes the same ones."""
+        some = self.touched(batch)
+        if not some:
+            return
+        target = f"{self.base}/data/v{number}"
+        if any(p.startswith(target + "/") for p in self.held.values()):  # this batch is done already
+            return
+        self._bucket(upsert(self.read(some), batch, self.key)).write.mode("overwrite").partitionBy("_bucket").parquet(target)
+        old, self.held = self.held, {**self.held, **{b: f"{target}/_bucket={b}" for b in some}}
+        rows = self.spark.createDataFrame(sorted(self.held.items()), "bucket int, path string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/commits/v={number}")
+        for p in self._before - set(self.held.values()) - set(old.values()):
+            drop_path(self.spark, p)
+        self._before = set(old.values())
+
+
+def stream_upsert(stream: DataFrame, key: list[str], order: list[str], schema: str, changed: Callable[[DataFrame], DataFrame] = lambda b: b, base: str | None = None) -> DataFrame:
+    """Runs ``stream`` over what is there now, and returns the table by key with each key's last row by ``order``.
+
+    ``base`` holds the table and the stream's checkpoint: run again with the same one, it goes on where it stopped.
+    """
+    versions = Versions(stream.sparkSession, key, schema, base)
 
     def each(batch: DataFrame, number: int) -> None:
         last = first_wins(changed(batch), key, [F.desc(c) for c in order])
-        old = versions.read()
+        old = versions.read(versions.touched(last))
         newer = last.join(old.select(*key, *[F.col(c).alias(f"_{c}") for c in order]), key, "left")
         fresh = F.struct(*order) > F.struct(*[F.col(f"_{c}") for c in order])
         versions.apply(newer.where(F.col(f"_{order[0]}").isNull() | fresh).select(*last.columns), number)
@@ -82,10 +109,10 @@ def stream_breaker(stream: DataFrame, least: int = 3) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(streak_state(least), "user_id bigint, first_event bigint, opened_at bigint", "n long, first long", "append", "NoTimeout")
 
 
-def run_to_table(df: DataFrame) -> DataFrame:
-    """Runs a streaming query over what is there now, into a written table."""
+def run_to_table(df: DataFrame, base: str | None = None) -> DataFrame:
+    """Runs a streaming query over what is there now, into a written table; with the same ``base`` it goes on where it stopped."""
     spark = df.sparkSession
-    base = scratch_dir(spark)
+    base = base or scratch_dir(spark)
     query = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")

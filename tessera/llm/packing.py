@@ -6,26 +6,36 @@ longest first. A piece goes to the open bin that it leaves least room in. If non
 for each token it can still be given: sizes are optimised jointly under ``cost(size) = overhead + size + size^2 / quadratic`` (a fixed cost a sequence, a
 linear one a token, and attention's). At the end each bin is downsized to the smallest permitted size that holds its contents.
 
-Defined results: documents without tokens (null or empty texts too) have no piece and no row; ties go to the bin opened first and the piece of smaller (doc_id, text hash, start); repeated rows
-are pieces of their own; null doc_ids are packed and returned as null; other columns are not read; an empty table gives no rows.
+Defined results: documents without tokens (null or empty texts too) have no piece and no row; a text of any length is cut into as many pieces as it takes, and measured
+whole; ties go to the bin opened first and the piece of smaller (doc_id, text hash, start); repeated rows are pieces of their own; null doc_ids are packed
+and returned as null; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import texts as T
 from tessera.session import cut
 
-WORD = r"[^\x20\x09-\x0D]+"
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, at in T.parts(batches, 1 << 17):
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(T.n_words(data, at))], names=["doc_id", "row", "n"])
 
-def n_words(text: Column) -> Column:
-    """The default length of a text: its words."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
+
+def _measured(docs: DataFrame, length: Callable[[Column], Column] | None) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), n: the tokens of each text."""
+    row = F.xxhash64("doc_id", "text").alias("row")
+    if length is None:
+        return docs.select("doc_id", row, T.whole()).mapInArrow(_words, "doc_id bigint, row bigint, n bigint")
+    return docs.select("doc_id", row, length(F.col("text")).cast("bigint").alias("n"))
 
 
 class Cost:
@@ -67,13 +77,20 @@ def pack(lengths: list[int], sizes: list[int], cost: Cost) -> tuple[list[int], l
 
 
 def best_fit(
-    docs: DataFrame, sizes: tuple[int, ...] = (512, 1024, 2048, 4096), length=n_words, overhead: float = 64.0, quadratic: float = 16384.0, portion: int = 20000
+    docs: DataFrame,
+    sizes: tuple[int, ...] = (512, 1024, 2048, 4096),
+    length: Callable[[Column], Column] | None = None,
+    overhead: float = 64.0,
+    quadratic: float = 16384.0,
+    portion: int = 20000,
 ) -> DataFrame:
-    """doc_id, piece, start, length, bin_id, bin_size, bin_offset: where each piece of each document lies. ``length``: tokens of a text, as a column."""
+    """doc_id, piece, start, length, bin_id, bin_size, bin_offset: where each piece of each document lies.
+
+    ``length`` gives a text's tokens as a column; without it, tokens are words.
+    """
     sizes, cost = sorted(sizes), Cost(overhead, quadratic)
     most = sizes[-1]
-    text = F.col("text")
-    sized = docs.select("doc_id", F.xxhash64("doc_id", text).alias("row"), length(text).alias("n")).where("n > 0")
+    sized = _measured(docs, length).where("n > 0")
     start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(most).cast("bigint")))
     # four numbers a piece, written so that texts are measured once
     pieces = cut(sized.select("doc_id", "row", "n", start.alias("start")).withColumn("length", F.least(F.col("n") - F.col("start"), F.lit(most))).drop("n"))

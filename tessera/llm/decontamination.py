@@ -8,16 +8,18 @@ missed with probability 0.37^(7 * ROUNDS) < 1e-9. Items of up to ``FEW`` shingle
 verified by exact containment of the item's distinct shingles. An item of fewer words than a shingle has is one shingle, its whole sequence, as a document of so few
 words is: it is found where it is the whole text, never within a longer one.
 
-The items are broadcast where their sketch is at most ``broadcast_bytes``; beyond that, signatures meet by a join on (class, round, bin, value).
+The items are broadcast where their texts are at most ``broadcast_bytes`` (a worker's tables take up to some 70 times that, with a table for each class that its documents
+need, built once a worker); beyond that, signatures meet by a join on (class, round, bin, value).
 
-Defined results: null or empty texts hold nothing and items without words match nothing; rows that repeat an item_id count as items of their own;
-rows that repeat a doc_id are looked at one by one, and each (doc_id, item_id) is returned once, with the largest containment; null ids are returned as null.
-Other columns are not read.
+Defined results: null or empty texts hold nothing and items without words match nothing; a text of any length is searched whole; rows that repeat an item_id count as items of their own;
+rows that repeat a doc_id are looked at one by one, and each (doc_id, item_id) is returned once, with the largest containment (equal ones: with the most shingles found); null ids are
+returned as null; without documents or items nothing is found. Other columns are not read, whatever their names; ``drop_contaminated`` passes them through.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks as B
 from tessera.llm import shingles as S
+from tessera.llm import texts as T
 from tessera.session import cut
 
 ROUNDS = 3
 FEW = 8
+PORTION = 1 << 17
 _SEED = np.random.default_rng(11).integers(0, 2**64, ROUNDS, dtype=np.uint64)
 
 
@@ -41,7 +44,7 @@ def size_class(n: int) -> int:
 
 def signature(value: np.ndarray, c: int, r: int) -> np.ndarray:
     """The minima of the 2^c bins (bins without shingles are left out), each as one number that holds its bin too; sorted."""
-    h = np.sort(B.mix(value ^ _SEED[r]))
+    h = np.sort(T.mix(value ^ _SEED[r]))
     if c == 0:
         return h[:1]
     b = h >> np.uint64(64 - c)
@@ -97,26 +100,49 @@ def candidates(items: Items, value: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+_loaded: dict = {}
+
+
+def _items(shared, size: int) -> Items:
+    """The items of a broadcast, with the tables that searches have needed so far: built once a worker."""
+    key = (shared.value[0], size)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Items(*shared.value[1:], size)
+    return _loaded[key]
+
+
+def _held(items: Items, own: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(item, shingles found, shingles of the item) of the items that a document with the distinct shingles ``own`` holds."""
+    for i in candidates(items, own) if len(own) else ():
+        s = items.set(i)
+        n = int(np.isin(s, own, assume_unique=True).sum())
+        if 100 * n >= percent * len(s):
+            yield i, n, len(s)
+
+
 def _search(shared, size: int, percent: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(*shared.value, size)
-        for part in S.portions(S.rows_of(batches)):
-            value, at = S.shingles([t for _, t in part], size)
-            out = []
-            for k, (doc, _) in enumerate(part):
-                own = value[at[k] : at[k + 1]]
-                if len(own):
-                    for i in candidates(items, own):
-                        s = items.set(i)
-                        n = int(np.isin(s, own, assume_unique=True).sum())
-                        if 100 * n >= percent * len(s):
-                            out.append((doc, items.ids[i], n, len(s)))
+        items = _items(shared, size)
+        for rows, data, texts_at in T.parts(batches, PORTION):
+            value, at = S.of(data, texts_at, size)
+            out = [(doc, items.ids[i], n, m) for k, doc in enumerate(rows.column(0).to_pylist()) for i, n, m in _held(items, value[at[k] : at[k + 1]], percent)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "item_id", "n_found", "n_item"])
 
     return search
 
 
+def _clean(shared, size: int, percent: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = _items(shared, size)
+        for rows, data, texts_at in T.parts(batches, PORTION):
+            value, at = S.of(data, texts_at, size)
+            yield rows.filter(pa.array([next(_held(items, value[at[k] : at[k + 1]], percent), None) is None for k in range(rows.num_rows)], pa.bool_()))
+
+    return clean
+
+
 PAIR = "doc_id bigint, item_id bigint, n_found bigint, n_item bigint"
 
 
@@ -124,19 +150,19 @@ def _postings(size: int, document: bool):
     """(class, round, value, row): a document's in its own class, an item's in every class; class -1 has whole sets, for items of few shingles."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(S.rows_of(batches)):
-            value, at = S.shingles([t for *_, t in part], size)
+        for rows, data, texts_at in T.parts(batches, PORTION):
+            value, at = S.of(data, texts_at, size)
             cs, rs, vs, ks = [], [], [], []
-            for k in range(len(part)):
+            for k, row in enumerate(rows.column(0).to_pylist()):
                 own = value[at[k] : at[k + 1]]
                 if not len(own):
                     continue
                 if document or len(own) <= FEW:
-                    _add(cs, rs, vs, ks, -1, 0, own, part[k][0])
+                    _add(cs, rs, vs, ks, -1, 0, own, row)
                 if document or len(own) > FEW:
                     for c in [size_class(len(own))] if document else range(48):
                         for r in range(ROUNDS):
-                            _add(cs, rs, vs, ks, c, r, signature(own, c, r), part[k][0])
+                            _add(cs, rs, vs, ks, c, r, signature(own, c, r), row)
             if cs:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in (cs, rs)] + [pa.array(np.concatenate(vs).view(np.int64)), pa.array(np.concatenate(ks), pa.int64())], names=["c", "r", "v", "row"]
@@ -156,7 +182,7 @@ def _contained(size: int, percent: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, item, texts, tests = (c.to_pylist() for c in b.columns)
-            value, at = S.shingles([x for pair in zip(texts, tests, strict=True) for x in pair], size)
+            value, at = S.shingles([x.encode() for pair in zip(texts, tests, strict=True) for x in pair], size)
             out = []
             for k in range(len(doc)):
                 own, s = value[at[2 * k] : at[2 * k + 1]], value[at[2 * k + 1] : at[2 * k + 2]]
@@ -169,16 +195,21 @@ def _contained(size: int, percent: int):
     return check
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """doc_id, item_id, n_found, n_item, containment: documents that hold at least ``percent`` of an item's distinct ``size``-word shingles."""
-    spark = docs.sparkSession
-    utf8 = lambda c: F.encode(F.coalesce(F.col(c), F.lit("")), "utf-8")
-    tests = items.select("item_id", utf8("text").alias("text"))
-    rows = docs.select("doc_id", utf8("text").alias("text"))
+def _broadcast(tests: DataFrame, broadcast_bytes: int):
+    """The items for every worker, or None where they are too large for that."""
     total = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if total <= broadcast_bytes:  # bounded: the items alone, however many documents there are
-        got = tests.collect()
-        shared = spark.sparkContext.broadcast(([r.item_id for r in got], [bytes(r.text) for r in got]))
+    if total > broadcast_bytes:
+        return None
+    got = tests.collect()  # bounded: the items alone, however many documents there are
+    return tests.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [r.item_id for r in got], [r.text.encode() for r in got]))
+
+
+def find(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, broadcast_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, item_id, n_found, n_item, containment: documents that hold at least ``percent`` of an item's distinct ``size``-word shingles."""
+    tests = items.select("item_id", T.whole())
+    rows = docs.select("doc_id", T.whole())
+    shared = _broadcast(tests, broadcast_bytes)
+    if shared is not None:
         pairs = rows.mapInArrow(_search(shared, size, percent), PAIR)
     else:
         keyed = cut(tests.withColumn("row", F.monotonically_increasing_id()))
@@ -193,8 +224,11 @@ def find(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, br
     return most.select("doc_id", "item_id", "m.n_found", "m.n_item", "m.containment")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item. Rows are told apart by a hash of id and text, so null and repeated ids are judged by row."""
-    row = F.xxhash64("doc_id", "text")
-    found = find(docs.select(row.alias("doc_id"), "text"), items, size, percent).select(F.col("doc_id").alias("_dc_row")).distinct()
-    return docs.withColumn("_dc_row", row).join(found, "_dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 75, broadcast_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item. Each row is judged by itself, whatever its id."""
+    shared = _broadcast(items.select("item_id", T.whole()), broadcast_bytes)
+    if shared is not None:
+        return docs.mapInArrow(_clean(shared, size, percent), docs.schema)
+    numbered = cut(docs.withColumn("_dc_row", F.monotonically_increasing_id()))
+    found = find(numbered.select(F.col("_dc_row").alias("doc_id"), "text"), items, size, percent, broadcast_bytes).select(F.col("doc_id").alias("_dc_row")).distinct()
+    return numbered.join(found, "_dc_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,19 +2,19 @@
 
 1. Each document's distinct shingles give a signature of ``K`` minima. Documents with equal sets are one node from here on.
 2. A node is posted under each (coordinate, value) of its signature. Values that one node alone has are dropped; the others are ordered by how many
-   nodes have them. Two nodes that agree in ``T`` of ``K`` coordinates share one of the ``K - T + 1`` rarest of each, so only that prefix is kept
+   nodes have them. Two nodes that agree in ``LEAST`` of ``K`` coordinates share one of the ``K - LEAST + 1`` rarest of each, so only that prefix is kept
    and long lists are skipped wherever rarer ones decide.
-3. Pairs from the lists are counted over the whole signature, and those with ``T`` matches are confirmed on the full sets. Lists of up to ``SMALL`` nodes
+3. Pairs from the lists are counted over the whole signature, and those with ``LEAST`` matches are confirmed on the full sets. Lists of up to ``SMALL`` nodes
    give all their pairs. From a longer list each node is paired with the list's most central one (whose values
    most nodes share); when that has given components, only nodes outside that
-   one's component are compared with the rest, in cells of about ``CELL`` nodes a side; pairs with ``T`` matches are confirmed in the cell, which returns
+   one's component are compared with the rest, in cells of about ``CELL`` nodes a side; pairs with ``LEAST`` matches are confirmed in the cell, which returns
    only the links that join components. Pairs within a component can't change it, so nothing is lost, and a group of copies gives no more rows than it has members.
 4. Components are found by smallest-label propagation with pointer jumping.
 
-At similarity 0.75 a pair has fewer than T = 21 of K = 48 matches with probability below 1e-6; every other step is exact.
+At similarity 0.75 a pair has fewer than LEAST = 21 of K = 48 matches with probability below 1e-6; every other step is exact.
 
-Defined results: a null or empty text has no shingles, is its own component and stays; documents with a null doc_id take part, and are kept only if their
-component has no other; repeated rows are in one component; other columns are not read.
+Defined results: a null or empty text has no shingles, is its own component and stays; a text of any length is one set of shingles, read whole; documents with a null doc_id take part, and are kept only if their
+component has no other; repeated rows are in one component; rows that share a doc_id are compared like any others; an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks as B
 from tessera.llm import shingles as S
-from tessera.session import cut
+from tessera.llm import texts as T
+from tessera.session import cut, drop_path, scratch_dir
 
-K, T, SMALL, CELL = 48, 21, 16, 2048
+K, LEAST, SMALL, CELL = 48, 21, 16, 2048
+PORTION = 1 << 17
 _ODD = np.random.default_rng(7).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -45,50 +46,52 @@ def _minima(value: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _sketch(size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(S.rows_of(batches)):
-            value, at = S.shingles([t for *_, t in part], size)
+        for rows, data, texts_at in T.parts(batches, PORTION):
+            value, at = S.of(data, texts_at, size)
             n = np.diff(at)
             some = np.flatnonzero(n)
-            keys = np.zeros((len(part), 2), np.uint64)
-            sig: list = [None] * len(part)
+            keys = np.zeros((2, len(n)), np.uint64)
+            lists = pa.nulls(len(n), pa.list_(pa.int32()))
             if len(some):
-                keys[some, 0] = np.add.reduceat(B.mix(value), at[some])
-                keys[some, 1] = np.add.reduceat(B.mix(value ^ np.uint64(0xC2B2AE3D27D4EB4F)), at[some])
-                for i, s in zip(some, _minima(value, at[some]), strict=True):
-                    sig[i] = s
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array(n, pa.int64())]
-                + [pa.array(keys[:, k].view(np.int64)) for k in (0, 1)]
-                + [pa.array(sig, pa.list_(pa.int32()))],
-                names=["doc_id", "row", "n_shingles", "set_a", "set_b", "sig"],
-            )
+                keys[0, some] = np.add.reduceat(T.mix(value), at[some])
+                keys[1, some] = np.add.reduceat(T.mix(value ^ np.uint64(0xC2B2AE3D27D4EB4F)), at[some])
+                where = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32) * K
+                lists = pa.ListArray.from_arrays(pa.array(where), pa.array(_minima(value, at[some]).ravel()), mask=pa.array(n == 0))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(n), *(pa.array(k.view(np.int64)) for k in keys), lists], names=["doc_id", "row", "row_b", "n_shingles", "set_a", "set_b", "sig"])
 
     return sketch
 
 
 def _full_sets(size: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in S.portions(S.rows_of(batches)):
-            value, at = S.shingles([t for *_, t in part], size)
-            lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), lists.cast(pa.list_(pa.int64()))], names=["node", "items"])
+        for rows, data, texts_at in T.parts(batches, PORTION):
+            value, at = S.of(data, texts_at, size)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["node", "items"])
 
     return full
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) of every node of ``edges`` (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    """node, comp (smallest node reachable) of every node of ``edges`` (a, b). Each round's tables go when the next one's are written."""
+    spark = edges.sparkSession
+    paths = [scratch_dir(spark) for _ in range(2)]
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), paths[0])
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), paths[1])
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        step = cut(step)
+        paths += [scratch_dir(spark) for _ in range(2)]
+        step = cut(step, paths[2])
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        step = cut(step.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")))
+        step = cut(step.join(jump, "comp", "left").select("node", "was", F.coalesce("further", "comp").alias("comp")), paths[3])
         labels = step.select("node", "comp")
-        if not step.where("was != comp").head(1):
+        done = not step.where("was != comp").head(1)
+        for p in paths[:3] if done else paths[1:3]:
+            drop_path(spark, p)
+        if done:
             return labels
+        paths = [paths[0], paths[3]]
 
 
 def _matches(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -96,7 +99,7 @@ def _matches(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     two = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
     two = two.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     n = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return two.where(n >= T).select("a", "b")
+    return two.where(n >= LEAST).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -107,7 +110,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _cells(percent: int):
     def cells(cell: pd.DataFrame) -> pd.DataFrame:
-        """Links of a cell between different components, as many as join them: pairs with T matches and sizes that allow it, confirmed on the full sets."""
+        """Links of a cell between different components, as many as join them: pairs with LEAST matches and sizes that allow it, confirmed on the full sets."""
         left = cell[cell["side"] == 0]
         right = cell[cell["side"] == 1]
         links: list[tuple[int, int]] = []
@@ -123,7 +126,7 @@ def _cells(percent: int):
 
             for i in range(len(x)):
                 n = len(sx[i])
-                near = np.flatnonzero((100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((x[i] == y).sum(axis=1) >= T))
+                near = np.flatnonzero((100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((x[i] == y).sum(axis=1) >= LEAST))
                 mine = top(cx[i])
                 near = [j for j in near.tolist() if top(cy[j]) != mine]
                 if not near:
@@ -164,21 +167,26 @@ def _across(posts: DataFrame, lists: DataFrame, labels: DataFrame, nodes: DataFr
     return spread.groupBy("first", "r", "c").applyInPandas(_cells(percent), "a bigint, b bigint")
 
 
+def _row(*names: str) -> list:
+    """128 bits of hashes of a row's id and text."""
+    a, b = names or ("row", "row_b")
+    return [F.xxhash64("doc_id", "text").alias(a), F.xxhash64(F.lit(1), "doc_id", "text").alias(b)]
+
+
 def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row, n_shingles, component_id, and comp, the component itself (null for a text without words)."""
-    text = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), text.alias("text"))
-    sketch = cut(rows.mapInArrow(_sketch(size), "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>"))
+    """doc_id, row and row_b, n_shingles, component_id, and comp, the component itself (null for a text without words)."""
+    rows = docs.select("doc_id", *_row(), T.whole())
+    sketch = cut(rows.mapInArrow(_sketch(size), "doc_id bigint, row bigint, row_b bigint, n_shingles bigint, set_a bigint, set_b bigint, sig array<int>"))
     keys = ["set_a", "set_b", "n_shingles"]
     some = sketch.where("n_shingles > 0")
     nodes = cut(
-        some.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id())
+        some.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.min(F.struct("row", "row_b")).alias("r"), F.first("sig").alias("sig")).select("*", "r.row", "r.row_b").drop("r").withColumn("node", F.monotonically_increasing_id())
     )
     tokens = nodes.select("node", F.posexplode("sig").alias("k", "v")).select("node", (F.shiftleft(F.col("k").cast("bigint"), 32) + F.col("v").cast("bigint").bitwiseAND(0xFFFFFFFF)).alias("token"))
     freq = cut(tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"))
     ranked = tokens.join(freq, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("t"), F.sum("f").alias("weight"))
-    # K - size(t) values are the node's alone and come first in its prefix of K - T + 1
-    prefix = ranked.where(F.size("t") >= T).select("node", "weight", F.explode(F.slice("t", 1, F.size("t") - (T - 1))).alias("x"))
+    # K - size(t) values are the node's alone and come first in its prefix of K - LEAST + 1
+    prefix = ranked.where(F.size("t") >= LEAST).select("node", "weight", F.explode(F.slice("t", 1, F.size("t") - (LEAST - 1))).alias("x"))
     posts = cut(prefix.select("node", "weight", F.col("x.token").alias("token")))
     # the first of a list is the node whose values are shared most: among copies of one text, that is the one nearest to all others
     lists = cut(posts.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("first"), F.count("*").alias("n")).where("n > 1"))
@@ -189,12 +197,11 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     ordered = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = _matches(ordered.union(rest).distinct(), nodes, percent)
 
-    wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "row")
-    found = rows.join(wanted, "row").select("node", "text").mapInArrow(_full_sets(size), "node bigint, items array<bigint>")
+    wanted = nodes.join(listed.select("node").distinct(), "node", "left_semi").select("node", "row", "row_b")
+    found = rows.join(wanted, ["row", "row_b"]).select("node", "text").mapInArrow(_full_sets(size), "node bigint, items array<bigint>")
     sets = cut(found.dropDuplicates(["node"]))
     edges = cut(_confirmed(pairs, sets, percent))
     labels = components(edges)
-    B.free_shuffles(docs.sparkSession)
     more = cut(_across(posts, lists, labels, nodes, sets, percent))
     if more.head(1):
         labels = components(edges.union(more))
@@ -202,7 +209,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     least = owner.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_set = cut(owner.join(least, "comp").select(*keys, "component_id", "comp"))
     out = sketch.join(of_set, keys, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "row", "n_shingles", "component_id", "comp")
+    return out.select("doc_id", "row", "row_b", "n_shingles", "component_id", "comp")
 
 
 def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -214,25 +221,21 @@ def link(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     return _labelled(docs, size, percent).select("doc_id", "row", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``link`` keeps."""
-    kept = link(docs, size, percent).where("kept").select(F.col("row").alias("_nd_row")).distinct()
-    return docs.withColumn("_nd_row", F.xxhash64("doc_id", "text")).join(kept, "_nd_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def one_a_component(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """One row of ``docs``, with all its columns, of each component: that of the least doc_id (nulls last), then of the least row hash, then one of equal rows.
 
     Texts without words are near nothing and stay.
     """
     labels = _labelled(docs, size, percent)
-    rows = cut(labels.where("n_shingles > 0").groupBy("comp", "doc_id", "row").agg(F.count("*").alias("n")))
-    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "n")).alias("b"))
-    chosen = cut(best.select(F.col("b.row").alias("_nd_row"), (F.col("b.n") > 1).alias("_nd_many")).union(labels.where("n_shingles = 0").select("row", F.lit(False)).distinct()))
-    found = docs.withColumn("_nd_row", F.xxhash64("doc_id", "text"))
+    rows = cut(labels.where("n_shingles > 0").groupBy("comp", "doc_id", "row", "row_b").agg(F.count("*").alias("n")))
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "row_b", "n")).alias("b"))
+    wordless = labels.where("n_shingles = 0").select("row", "row_b", F.lit(False)).distinct()
+    chosen = cut(best.select(F.col("b.row").alias("_nd_row"), F.col("b.row_b").alias("_nd_row_b"), (F.col("b.n") > 1).alias("_nd_many")).union(wordless))
+    key = ["_nd_row", "_nd_row_b"]
+    found = docs.select("*", *_row(*key))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    out = found.join(chosen.where("NOT _nd_many"), "_nd_row", "left_semi").select(*names)
+    out = found.join(chosen.where("NOT _nd_many"), key, "left_semi").select(*names)
     many = chosen.where("_nd_many")
     if many.head(1):  # equal rows meet only where there are some
-        out = out.union(found.join(many, "_nd_row", "left_semi").dropDuplicates(["_nd_row"]).select(*names))
+        out = out.union(found.join(many, key, "left_semi").dropDuplicates(key).select(*names))
     return out

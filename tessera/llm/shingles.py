@@ -2,73 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 
-from tessera.llm import blocks as B
-from tessera.llm.substring_dedup import BLANK
+from tessera.llm import texts as T
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples, some at a time, so that a large batch isn't held twice."""
-    for b in batches:
-        for i in range(0, b.num_rows, step):
-            yield from zip(*(c.to_pylist() for c in b.slice(i, step).columns), strict=True)
-
-
-def portions(rows: Iterator[tuple], size: int = 1 << 18) -> Iterator[list[tuple]]:
-    """Rows (..., text) in lists of about ``size`` bytes of text."""
-    part, n = [], 0
-    for row in rows:
-        part.append(row)
-        n += len(row[-1]) + 64
-        if n >= size:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one after the other, and n + 1 offsets into them."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
 
 
-def words(texts: list[bytes]):
-    """Hash of each word, and how many words each text has."""
-    data, starts, _ = B.join_texts(texts)
-    data = LOWER[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[data], [True]]).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    doc = np.searchsorted(starts, begin, "right") - 1
-    h = B.hash_ranges(data, begin, end)
-    return h, doc, np.bincount(doc, minlength=len(texts))
+def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    return of(*joined(texts), size)
 
 
-def shingles(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def of(data: np.ndarray, at: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text: hashes sorted within each text, and where each text's begin (one more entry at the end).
 
     A text of fewer than ``size`` words has one shingle, its whole sequence; a text without words has none.
     """
-    h, doc, count = words(texts)
-    n = len(texts)
-    first = np.cumsum(count) - count
+    data = T.lower(data)
+    begin, end = T.edges(T.solid(data), at)
+    h = T.hashes(data, begin, end)
+    word = np.searchsorted(begin, at)
+    first, count = word[:-1], np.diff(word)
     ext = np.concatenate([h, np.zeros(size, np.uint64)])
     g = np.zeros(len(h), np.uint64)
     for j in range(size):
-        g = g * _STEP + ext[j : j + len(h)]
-    ok = np.arange(len(h)) - first[doc] <= count[doc] - size
+        g *= _STEP
+        g += ext[j : j + len(h)]
+    ok = np.ones(len(h), bool)
+    for j in range(1, size):  # a text's last words start no shingle
+        last = word[1:] - j
+        ok[last[last >= first]] = False
     short = np.flatnonzero((count > 0) & (count < size))
-    part = np.zeros(len(short), np.uint64)
+    whole = np.zeros(len(short), np.uint64)
     for j in range(size - 1):
         has = count[short] > j
-        part[has] = part[has] * _STEP + h[first[short][has] + j]
-    owner = np.concatenate([doc[ok], short])
-    value = np.concatenate([B.mix(g[ok]), B.mix(part + count[short].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))])
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.ones(len(owner), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-    owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(n + 1))
+        whole[has] = whole[has] * _STEP + h[first[short][has] + j]
+    n = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))
+    place = np.concatenate([[0], np.cumsum(n)])
+    value = np.empty(place[-1], np.uint64)
+    long = np.ones(place[-1], bool)
+    long[place[:-1][short]] = False
+    value[long] = T.mix(g[ok])
+    value[place[:-1][short]] = T.mix(whole + count[short].astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    for k in np.flatnonzero(n > 1).tolist():
+        value[place[k] : place[k + 1]].sort()
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    new[place[:-1][n > 0]] = True
+    return value[new], np.concatenate([[0], np.cumsum(new)])[place]

@@ -9,10 +9,11 @@ toxic segment: training starts from all segments with their text's label, then k
 be harmless), and for clean texts all. A last logistic fit on texts turns the largest segment score into a probability. At inference the table and the softmax collapse into
 one number a bucket.
 
-The model learns from at most ``max_rows`` labelled texts of up to ``max_chars`` characters (documented bounds; both classes alike); every whole text is scored.
+The model learns from at most ``max_rows`` labelled texts of ``max_bytes`` bytes together (documented bounds; both classes alike; texts of all lengths, whole); every whole text is scored.
 
-Defined results: a null or empty text scores as a segment without words; rows that repeat a doc_id are scored one by one; unlabelled rows
-and null labels are not learned from; without rows of both classes all scores are 0.5; other columns are not read.
+Defined results: a null or empty text scores as a segment without words; a text of any length is read whole, segment by segment; equal texts score alike; rows that repeat
+a doc_id are scored one by one; unlabelled rows and null labels are not learned from; without rows of both classes all scores are 0.5; an empty table gives an empty table; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,27 +25,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks as B
 from tessera.llm import shingles as S
-from tessera.llm.quality_classifier import _utf8, sample
+from tessera.llm import texts as T
+from tessera.llm.quality_classifier import sample
+from tessera.session import cut
+
+PORTION = 1 << 18
 
 BUCKETS, DIM, SEGMENT = 1 << 16, 8, 16
 SIZES = (3, 4, 5)
-PART = np.zeros(256, bool)  # what parts words: blanks, controls and ASCII punctuation
-PART[:0x30] = PART[0x3A:0x41] = PART[0x5B:0x61] = PART[0x7B:0x80] = True
 
 
 class Bag:
     """The words of some texts: distinct words with their bytes' n-gram buckets, and for each word of each text its index."""
 
-    def __init__(self, texts: list[bytes]):
-        data, starts, _ = B.join_texts(texts)
-        data = S.LOWER[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], PART[data], [True]]).view(np.int8)))
-        begin, end = edge[::2], edge[1::2]
-        self.n = len(texts)
-        self.doc = np.searchsorted(starts, begin, "right") - 1
-        h = B.hash_ranges(data, begin, end)
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        data = T.lower(data)
+        # blanks, controls and ASCII punctuation part words
+        begin, end = T.edges(((data - np.uint8(0x30)) < 10) | ((data - np.uint8(0x61)) < 26) | (data >= 0x80), at)
+        self.n = len(at) - 1
+        self.doc = np.repeat(np.arange(self.n), np.diff(np.searchsorted(begin, at)))
+        h = T.hashes(data, begin, end)
         fresh = np.ones(len(h), bool)  # a word said over and over counts once, or its score would fill a segment
         fresh[1:] = (h[1:] != h[:-1]) | (self.doc[1:] != self.doc[:-1])
         begin, end, self.doc = begin[fresh], end[fresh], self.doc[fresh]
@@ -63,7 +64,7 @@ class Bag:
         inside[total - 1] = inside[total - size] = False
         n = e - b
         marked[inside] = self._data[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        h = B.Prefix(marked, 1)
+        view = T.loads(marked)
         owner, value = [np.arange(len(pick))], [self.hash[pick]]
         last = np.repeat(total, size)
         who = np.repeat(np.arange(len(pick)), size)
@@ -71,7 +72,7 @@ class Bag:
         for g in SIZES:
             ok = at[at + g <= last]
             owner.append(who[ok])
-            value.append(h.of(ok, ok + g))
+            value.append(T.mix((view[ok] & np.uint64((1 << 8 * g) - 1)) + np.uint64(g << 56)))
         owner, value = np.concatenate(owner), np.concatenate(value)
         order = np.argsort(owner, kind="stable")
         return (value[order] % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(pick) + 1))
@@ -98,48 +99,79 @@ def _means(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1)
 
 
+class Known:
+    """Scores of words seen before, one a slot; a newer word takes an older one's slot."""
+
+    def __init__(self, bits: int = 18):
+        self.low = np.uint64((1 << bits) - 1)
+        self.hash = np.arange(1, (1 << bits) + 1, dtype=np.uint64)  # no word with this hash has this slot
+        self.score = np.zeros(1 << bits)
+
+    def look(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and which words have none yet."""
+        slot = words & self.low
+        return self.score[slot], np.flatnonzero(self.hash[slot] != words)
+
+    def put(self, words: np.ndarray, score: np.ndarray) -> None:
+        slot = words & self.low
+        self.hash[slot], self.score[slot] = words, score
+
+
 class Model:
     """One number a bucket, an offset, and the last logistic fit."""
 
     def __init__(self, table: np.ndarray, offset: float, slope: float, shift: float):
         self.table, self.offset, self.slope, self.shift = table, offset, slope, shift
 
-    def word_scores(self, bag: Bag, known: dict | None = None) -> np.ndarray:
+    def word_scores(self, bag: Bag, known: Known | None = None) -> np.ndarray:
         """The mean of each distinct word's buckets. ``known`` remembers words between calls."""
-        out = np.empty(len(bag.hash))
-        new = np.arange(len(out))
-        if known is not None:
-            keys = bag.hash.tolist()
-            got = [known.get(k) for k in keys]
-            new = np.array([i for i, s in enumerate(got) if s is None], np.int64)
-            out[:] = [0.0 if s is None else s for s in got]
+        out, new = (np.empty(len(bag.hash)), np.arange(len(bag.hash))) if known is None else known.look(bag.hash)
         for i in range(0, len(new), 20000):
             part = new[i : i + 20000]
             g, at = bag.grams(part)
             out[part] = np.add.reduceat(self.table[g], at[:-1]) / np.diff(at)
         if known is not None:
-            if len(known) > 300_000:
-                known.clear()
-            known.update(zip([keys[i] for i in new], out[new].tolist(), strict=True))
+            known.put(bag.hash[new], out[new])
         return out
 
-    def largest(self, bag: Bag, known: dict | None = None) -> np.ndarray:
+    def largest(self, bag: Bag, known: Known | None = None) -> np.ndarray:
         lo, hi, doc = bag.segments()
-        z = np.full(bag.n, -np.inf)
-        np.maximum.at(z, doc, _means(self.word_scores(bag, known)[bag.word], lo, hi))
-        z[np.isinf(z)] = 0.0
+        z = np.zeros(bag.n)
+        if len(doc):
+            lead = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            z[doc[lead]] = np.maximum.reduceat(_means(self.word_scores(bag, known)[bag.word], lo, hi), lead)
         return z + self.offset
 
-    def score(self, texts: list[bytes], known: dict | None = None) -> np.ndarray:
-        z = self.slope * self.largest(Bag(texts), known) + self.shift
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return self.rate(Bag(*S.joined(texts)))
+
+    def rate(self, bag: Bag, known: Known | None = None) -> np.ndarray:
+        z = self.slope * self.largest(bag, known) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradients(emb, soft, bias, g, weight, owner, label):
+    """Of the cross-entropy of some segments: its mean's by the softmax and its offset, and its sum's by the rows of the table that occur (their numbers and gradients).
+
+    Segment ``owner`` has bucket ``g`` with ``weight``, an entry each.
+    """
+    n = len(label)
+    vec = np.add.reduceat(emb[g] * weight[:, None], np.searchsorted(owner, np.arange(n)))
+    p = vec @ soft + bias
+    p = np.exp(p - p.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), label.astype(int)] -= 1
+    back = p @ soft.T
+    rows, inv = np.unique(g, return_inverse=True)
+    each = np.stack([np.bincount(inv, back[owner, j] * weight, len(rows)) for j in range(emb.shape[1])], axis=1).astype(emb.dtype)
+    return vec.T @ p / n, p.sum(axis=0) / n, rows, each
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.5, batch: int = 256, seed: int = 5) -> Model:
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0)
     rng = np.random.default_rng(seed)
-    bag = Bag(texts)
+    bag = Bag(*S.joined(texts))
     grams, at = bag.all_grams()
     sizes = np.diff(at)
     lo, hi, doc = bag.segments()
@@ -173,20 +205,10 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.5,
             g = grams[np.repeat(at[words] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
             weight = np.repeat(1.0 / (k * np.repeat(n, n)), k).astype(np.float32)
             owner = np.repeat(np.repeat(np.arange(len(s)), n), k)
-            lead = np.searchsorted(owner, np.arange(len(s)))
-            vec = np.add.reduceat(emb[g] * weight[:, None], lead)
-            p = vec @ soft + bias
-            p = np.exp(p - p.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(s)), label[s].astype(int)] -= 1
-            p /= len(s)
-            back = p @ soft.T * len(s)
-            grad = vec.T @ p
+            grad, tilt, rows, each = gradients(emb, soft, bias, g, weight, owner, label[s])
             sq_soft += grad**2
             soft -= rate * grad / np.sqrt(sq_soft)
-            bias -= 0.1 * p.sum(axis=0)
-            rows, inv = np.unique(g, return_inverse=True)
-            each = np.stack([np.bincount(inv, back[owner, j] * weight, len(rows)) for j in range(DIM)], axis=1).astype(np.float32)
+            bias -= 0.1 * tilt
             sq_emb[rows] += each**2
             emb[rows] -= 0.1 * rate * each / np.sqrt(sq_emb[rows])
     table = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
@@ -215,22 +237,32 @@ def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _scored(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(*shared.value), {}
-        for part in S.portions(S.rows_of(batches)):
-            s = model.score([t for *_, t in part], known)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array(s)], names=["doc_id", "row", "score"])
+        model, known = Model(*shared.value), Known()
+        for rows, data, at in T.parts(batches, PORTION):
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], pa.array(model.rate(Bag(data, at), known))], names=["doc_id", "row", "score"])
 
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 8000, max_chars: int = 8000, **kw) -> Model:
-    learn = F.lit(True) if learn is None else learn
-    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars)
-    got = sample(short, labels, label, learn, max_rows).select("doc_id", "y", _utf8()).toPandas().sort_values("doc_id")
-    return train([bytes(t) for t in got["text"]], got["y"].to_numpy(np.float64), **kw)
+def lessons(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, max_bytes: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts to learn from and their labels: of each class the texts with the smallest hashes of their ids, up to half of ``max_rows`` rows and of ``max_bytes`` bytes.
+
+    Ids are picked by label alone, whatever the length of their texts; where the next text would pass the bound on bytes, its class ends (the first is taken in any case).
+    """
+    picked = cut(sample(docs, labels, label, learn, max_rows).select("doc_id", "y", T.whole()))
+    sizes = picked.select("doc_id", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "doc_id", "n").toPandas()  # max_rows rows of four numbers
+    before = sizes.groupby("y")["n"].cumsum() - sizes["n"]
+    taken = sizes[(before == 0) | (before + sizes["n"] <= max_bytes // 2)]
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in taken["doc_id"].unique()], "doc_id bigint")
+    got = picked.join(F.broadcast(ids), "doc_id", "left_semi").toPandas().sort_values(["doc_id", "text"])
+    return [t.encode() for t in got["text"]], got["y"].to_numpy(np.float64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = 8000, max_bytes: int = 24 << 20, **kw) -> Model:
+    return train(*lessons(docs, labels, label, F.lit(True) if learn is None else learn, max_rows, max_bytes), **kw)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.offset, model.slope, model.shift))  # 256 kB whatever the input
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _utf8()).mapInArrow(_scored(shared), "doc_id bigint, row bigint, score double")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), T.whole()).mapInArrow(_scored(shared), "doc_id bigint, row bigint, score double")

@@ -32,6 +32,49 @@ def test_trees_are_the_nested_form():
     assert (gbt.fit(x, np.ones(500)).score(x) > 0.5).all()
 
 
+def test_one_split_is_the_best_one():
+    """The histogram's split and leaves against all splits, one by one."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(size=200) > 5).astype(float)
+    t = gbt.fit(x, y, trees=1, depth=1, rate=0.5, least=8)
+    base = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    p = 1 / (1 + np.exp(-base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    splits = []
+    for j in range(3):
+        for v in np.unique(x[:, j]):
+            left = x[:, j] <= v
+            if min(left.sum(), (~left).sum()) >= 8:
+                splits.append((gain(left) + gain(~left), j, v))
+    best = max(splits)
+    left = x[:, t.feature[0, 0]] <= t.threshold[0, 0]
+    assert t.feature[0, 0] == best[1] and gain(left) + gain(~left) == pytest.approx(best[0])
+    assert t.leaf[0].tolist() == pytest.approx([-0.5 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+    assert t.base == pytest.approx(base)
+
+
+def test_statistics_are_the_plain_ones():
+    texts = ["", "one Two, two two #|x  3!", "a b c " * 30 + "LOUD LOUD", "é\nñ ñ"]
+    got = quality_classifier.statistics([t.encode() for t in texts])
+    for row, t in zip(got, texts):
+        f = dict(zip(quality_classifier.FEATURES, row.tolist()))
+        w, raw = t.split(), t.encode()
+        n = max(len(w), 1)
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        want = {
+            "bytes": np.log1p(len(raw)), "words": np.log1p(len(w)), "word_size": sum(len(x.encode()) for x in w) / n, "upper": sum(65 <= c < 91 for c in raw) / max(len(raw), 1),
+            "digit": sum(48 <= c < 58 for c in raw) / max(len(raw), 1), "symbol": sum(c in b"#*$%&<>@^~_\\{}=+" for c in raw) / n, "bar": t.count("|") / n, "mark": sum(c in "!?" for c in t) / n,
+            "wide": sum(c >= 128 for c in raw) / max(len(raw), 1), "line": t.count("\n") / n, "distinct": len(set(w)) / n, "same_as_last": sum(a == b for a, b in zip(w, w[1:])) / n,
+            "repeated_3": sum(three.count(x) > 1 for x in three) / n, "top_word": max((w.count(x) for x in w), default=0) / n, "short_words": sum(len(x.encode()) == 1 for x in w) / n,
+        }
+        assert {k: f[k] for k in want} == pytest.approx(want), t
+        segments = [w[i : i + 48] for i in range(0, len(w), 48)]
+        loud = [sum(65 <= c < 91 for x in seg for c in x.encode()) / sum(len(x.encode()) for x in seg) for seg in segments if len(seg) >= 12]
+        assert f["worst_upper"] == pytest.approx(max(loud, default=0)) and f["worst_distinct"] == pytest.approx(max((1 - len(set(x)) / len(x) for x in segments if len(x) >= 12), default=0))
+
+
 def test_statistics_do_not_depend_on_the_batch(rows):
     texts = [(t or "").encode() for _, t in rows]
     whole = quality_classifier.statistics(texts)
@@ -88,11 +131,96 @@ def test_toxicity_generalises_to_misspellings(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_scores_are_the_plain_ones():
+    """Vectorised scoring against loops over words, n-grams and segments."""
+    import re
+
+    from tessera.llm import texts as T
+
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25, 1.5, -0.5)
+    texts = ["", " ,;", "One one two-three", "é" * 9 + " bad!bad", " ".join("w%d" % (i % 13) for i in range(70))]
+
+    def number(data):
+        return int.from_bytes(data, "little")
+
+    def word(w):
+        own = T.hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))
+        marked = b"<" + w + b">"
+        grams = [T.mix(np.array([number(marked[i : i + k]) + (k << 56)], np.uint64)) for k in toxicity.SIZES for i in range(len(marked) - k + 1)]
+        return np.mean([model.table[int(h[0]) % toxicity.BUCKETS] for h in [own, *grams]])
+
+    for t, got in zip(texts, model.score([t.encode() for t in texts])):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", brute.lower(t).encode())
+        words = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+        size, step = toxicity.SEGMENT, toxicity.SEGMENT // 2
+        z = [np.mean([word(w) for w in words[i : i + size]]) for i in range(0, max(len(words) - step, 1), step) if words]
+        assert got == pytest.approx(1 / (1 + np.exp(-(1.5 * (max(z, default=0.0) + 0.25) - 0.5))), abs=1e-6)
+    assert model.rate(toxicity.Bag(*_joined(texts)), toxicity.Known(4)).tolist() == pytest.approx(model.score([t.encode() for t in texts]).tolist())
+
+
+def _joined(texts):
+    from tessera.llm import shingles
+
+    return shingles.joined([t.encode() for t in texts])
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    emb, soft, bias = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    g, owner = np.array([0, 1, 1, 4, 5, 0]), np.array([0, 0, 0, 1, 1, 2])
+    weight, label = rng.random(6), np.array([1, 0, 1])
+
+    def losses():
+        out = []
+        for i in range(3):
+            v = sum(weight[k] * emb[g[k]] for k in range(6) if owner[k] == i) @ soft + bias
+            out.append(np.log(np.exp(v).sum()) - v[label[i]])
+        return np.array(out)
+
+    def slope(a, at, total):
+        old, out = a[at], []
+        for e in (1e-6, -1e-6):
+            a[at] = old + e
+            out.append(total(losses()))
+        a[at] = old
+        return (out[0] - out[1]) / 2e-6
+
+    grad, tilt, rows, each = toxicity.gradients(emb, soft, bias, g, weight, owner, label)
+    assert [[slope(soft, (i, j), np.mean) for j in range(2)] for i in range(3)] == [pytest.approx(r, abs=1e-6) for r in grad.tolist()]
+    assert [slope(bias, j, np.mean) for j in range(2)] == pytest.approx(tilt.tolist(), abs=1e-6)
+    assert rows.tolist() == [0, 1, 4, 5]
+    assert [[slope(emb, (int(r), j), np.sum) for j in range(3)] for r in rows] == [pytest.approx(r, abs=1e-6) for r in each.tolist()]
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Toxic texts of any length teach; ids are picked by label alone, and the bound on bytes ends a class."""
+    rng = random.Random(6)
+    vocab = ["word%d" % i for i in range(400)]
+    rows, labels = [], []
+    for i in range(160):
+        bad = i % 2
+        w = rng.choices(vocab, k=3000 if bad else rng.randrange(30, 3000))
+        for _ in range(40 * bad):
+            w[rng.randrange(len(w))] = rng.choice(["idiotic", "worthless", "pathetic"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, bad))
+    d, own = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    learn = F.col("doc_id") < 120
+    texts, y = toxicity.lessons(d, own, "toxic", learn, 8000, 24 << 20)
+    assert sorted(zip(map(len, texts), y)) == sorted((len(t), i % 2) for i, t in rows if i < 120)
+    few, z = toxicity.lessons(d, own, "toxic", learn, 8000, 300_000)
+    assert 0 < z.sum() < 60 and sum(len(t) for t, k in zip(few, z) if k) <= 150_000 and max(map(len, few)) > 20_000
+    model = toxicity.fit(d, own, "toxic", learn)
+    got = {r.doc_id: r.score for r in toxicity.score(d, model).where("doc_id >= 120").collect()}
+    assert all((s >= 0.5) == (i % 2 == 1) for i, s in got.items())
+
+
 def test_rules(docs, rows, clashing, empty):
     want = brute.nulls_first([(i, *brute.rule_counts(t)) for i, t in rows])
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert collected(quality_rules.judge(docs, "source").select(*cols)) == want
-    assert collected(quality_rules.judge(clashing.drop("host").drop("w"), "source").select(*cols)) == want
+    assert collected(quality_rules.judge(clashing, "source").select(*cols)) == want
     assert collected(quality_rules.judge(empty)) == []
 
 

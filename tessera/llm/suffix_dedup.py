@@ -1,21 +1,26 @@
 """Duplicate byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-All strings of ``length`` bytes that two documents share are found in three steps.
+A text that equals one of a smaller document goes whole and takes no further part: the smaller one holds all its strings. All strings of ``length`` bytes that two of the other
+documents share are found in three steps.
 
 1. Partition. A string's anchor is the leftmost of its ``GRAM``-byte grams with the smallest hash, so equal strings have equal
-   anchors. One exchange of packed gram hashes (see blocks.py) leaves the anchors that two documents share.
+   anchors, and the bytes on one side of it in common as well. One exchange of packed hashes of these (see blocks.py) leaves what two documents share.
 2. Expansion. The strings with one anchor position form a segment of a document's bytes. A block sends its distinct segments,
-   with the smallest document that holds each, to the bucket of the anchor's hash. The bucket builds Burrows-Wheeler transforms of its distinct segments (one for each of ``PARTS``
-   ranges of anchors) and expands intervals breadth first: a boundary with common prefix q is carried one character backwards and gives boundaries with common prefix
+   with the smallest document that holds each, to the bucket of the anchor's hash. A segment that all holders of an anchor have alike is one interval as it stands. The others go, each distinct one
+   once, into Burrows-Wheeler transforms (of about ``TEXT`` letters of up to 5 bytes, never parting an anchor), whose intervals are
+   expanded breadth first: a boundary with common prefix q is carried one character backwards and gives boundaries with common prefix
    q + 1, so common prefixes come out by increasing value; the expansion stops at ``length``. What has no boundary by then
    is a group of equal strings, and the smallest document of each group is known.
-3. Removal. The answers are bits a segment; each block marks and cuts its own bytes.
+3. Removal. The answers are bits a string of each segment; each block marks and cuts its own bytes.
 
 An anchor that ``hot`` blocks or more hold could bring one bucket a segment from every document (a common passage amid differing text). Its
 strings are sent one by one to buckets by their own hash instead: equal ones still meet, and no bucket gets more than one entry a block of any string.
 
-Defined results: a null or empty text has no bytes; a document shorter than ``length`` stays whole; matches never cross documents; rows that
-repeat a doc_id count as documents one after the other, by text; null doc_ids come first; other columns are not read. Cut text is bytes, since a cut can split a character.
+Segments are taken as equal where two independent 64-bit hashes, the gram and the size are equal.
+
+Defined results: a null or empty text has no bytes; a document shorter than ``length`` stays whole; a text of any length is read whole, in chunks; matches never cross rows; rows that
+share a doc_id are one document and remove nothing from each other; a null doc_id is an id of its own, before all others; an empty table gives an empty table; other columns
+are not read, whatever their names. Cut text is bytes, since a cut can split a character.
 """
 
 from __future__ import annotations
@@ -27,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import blocks as B
+from tessera.llm import texts as T
 
 GRAM = 20
-#: Transforms a bucket: each takes a part of its range of anchors, so that its arrays stay in a core's cache.
-PARTS = 12
-_PLACE = np.uint64(0xFFFFFFFF)
+#: Bytes of a transform's text, and string starts looked at at a time: their arrays stay in a core's cache.
+TEXT, CHUNK = 60_000, 1 << 16
+_PLACE = 17
+_LOW = np.uint64(0xFFFFFFFF)
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -43,143 +51,214 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on."""
+    n = len(data) - GRAM + 1
+    v = T.loads(data)[: len(data) - 7].copy()
+    h = v[:n] * _A
+    h += v[8 : 8 + n] * _B
+    h += v[GRAM - 8 : GRAM - 8 + n] * _C
+    h ^= h >> np.uint64(32)
+    h *= _D
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Anchors:
-    """The segments of a block: runs of string starts [first, last] with one anchor, their document and their gram's hash."""
-
-    def __init__(self, row: dict, length: int):
-        self.length = length
-        self.data, self.doc_starts, self.doc_ends = B.unpack(row)
-        n = len(self.data)
-        self.hash = B.Prefix(self.data)
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
-        self.gram = np.zeros(0, np.uint64)
-        if n < length + 1:
-            return
-        g = self.hash.windows(GRAM)
-        # the hash's upper half, then the place: the smallest is the leftmost gram with the smallest hash
-        where = (_sliding_min((g & ~_PLACE) | np.arange(len(g), dtype=np.uint64), length - GRAM + 1) & _PLACE).astype(np.int64)
-        ok = np.zeros(len(where), bool)
-        for s, e in zip(self.doc_starts, self.doc_ends, strict=True):
-            ok[s : max(s, e - length + 1)] = True
-        # a run ends where the anchor changes or a document does
-        new = np.flatnonzero(ok & np.concatenate([[True], (where[1:] != where[:-1]) | ~ok[:-1]]))
-        if not len(new):
-            return
-        self.first = new
-        stop = np.flatnonzero(ok & np.concatenate([(where[1:] != where[:-1]) | ~ok[1:], [True]]))
-        self.last = stop
-        self.gram = B.mix(g[where[new]])  # anchors have small hashes; these spread over all buckets
-        self.doc = np.searchsorted(self.doc_starts, new, "right") - 1
-
-    def shared_sent(self):
-        """What step 1 sends: distinct grams, sorted, and whether two documents of the block have each."""
-        uniq, inv = np.unique(self.gram, return_inverse=True)
-        lo = np.full(len(uniq), 1 << 62)
-        hi = np.full(len(uniq), -1)
-        np.minimum.at(lo, inv, self.doc)
-        np.maximum.at(hi, inv, self.doc)
-        return uniq, inv, lo != hi
-
-    def candidates(self, answers, buckets: int):
-        """Step 2's segments after step 1: start, end, document, and the key that chooses the bucket."""
-        uniq, inv, _ = self.shared_sent()
-        edges = B.bucket_edges(uniq, buckets)
-        code = np.zeros(len(uniq), np.uint8)
-        for a in answers or []:
-            i, j = edges[a["bucket"]], edges[a["bucket"] + 1]
-            code[i:j] = np.frombuffer(a["answer"], np.uint8)
-        code = code[inv]
-        pick = code == 1
-        start, end, doc, key = self.first[pick], self.last[pick] + self.length, self.doc[pick], self.gram[pick]
-        if (hot := code == 2).any():
-            runs = self.last[hot] - self.first[hot] + 1
-            s = np.repeat(self.first[hot] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
-            start, end = np.concatenate([start, s]), np.concatenate([end, s + self.length])
-            doc = np.concatenate([doc, np.repeat(self.doc[hot], runs)])
-            key = np.concatenate([key, self.hash.of(s, s + self.length)])
+    """The segments of a block: runs of string starts [first, last] with one anchor at ``place``, their document and their gram's hash.
+
+    A run's strings have at least ``reach`` bytes before the anchor, or as many behind it, in common: these two halves of a run are what step 1 asks about, by hashes
+    of the gram and those bytes. (The gram alone would be shared by chance ever more often as a corpus grows.)
+    """
+
+    def __init__(self, block: B.Block, length: int):
+        self.block, self.length, self.data = block, length, block.data
+        at, n = block.at, len(block.data)
+        # strings start where at least ``length`` bytes of the text are left
+        size = np.diff(at)
+        mark = np.zeros(n + 1, np.int8)
+        long = np.flatnonzero((size >= length) & ~block.copies(strict=True))
+        mark[at[long]] = 1
+        mark[at[long + 1] - length + 1] -= 1
+        ok = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+        reach = (length - GRAM + 1) // 2
+        first, where_at, gram, before, behind, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], *([np.zeros(0, np.uint64)] for _ in range(3)), []
+        low = np.uint32((1 << _PLACE) - 1)
+        for s in range(0, n - length + 1, CHUNK):
+            e = min(s + CHUNK, n - length + 1)
+            h = _grams(self.data[s : e + length - 1])
+            # the hash's upper bits, then the place: the smallest is the leftmost gram with the smallest hash
+            key = ((h >> np.uint64(32)).astype(np.uint32) & ~low) | np.arange(len(h), dtype=np.uint32)
+            where = _sliding_min(key, length - GRAM + 1) & low
+            # a run begins where the anchor changes, or a text or the chunk begins
+            here = ok[s:e]
+            new = np.ones(e - s, bool)
+            np.not_equal(where[1:], where[:-1], out=new[1:])
+            new[1:] |= ~here[:-1]
+            new &= here
+            new = np.flatnonzero(new)
+            p = where[new].astype(np.int64)
+            first.append(new + s)
+            where_at.append(p + s)
+            own = h[p]
+            gram.append(T.mix(own))  # anchors have small hashes; these spread over all buckets
+            before.append(T.mix(own * _A + h[np.maximum(p - reach, 0)]))
+            behind.append(T.mix(own * _B + h[np.minimum(p + reach, len(h) - 1)]))
+            ends.append(e)
+        self.first, self.gram, place = np.concatenate(first), np.concatenate(gram), np.concatenate(where_at)
+        self.doc = np.repeat(np.arange(len(block), dtype=np.int32), np.diff(np.searchsorted(self.first, at)))
+        # and lasts until the next one begins, or its text or chunk has no more strings
+        self.last = np.minimum(np.append(self.first[1:], n) - 1, at[self.doc + 1] - length)
+        if len(self.first):
+            self.last = np.minimum(self.last, np.array(ends)[self.first // CHUNK] - 1)
+        # the last string with enough before the anchor, and the halves that have strings: by their runs, those before first
+        self.middle = np.minimum(self.last, place - reach)
+        self.left, self.right = np.flatnonzero(self.first <= self.middle), np.flatnonzero(self.middle < self.last)
+        self.half = np.concatenate([np.concatenate(before)[self.left], np.concatenate(behind)[self.right]])
+        # documents by id: rows that share one have one number
+        self.ids, number = np.unique(block.ids, return_inverse=True)
+        self.number = number.astype(np.int32)
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What step 1 sends: halves of runs in the order of their hashes, where a hash begins, and their documents by id."""
+        order, new = B.grouped(self.half)
+        return order, new, self.number[self.doc[np.concatenate([self.left, self.right])[order]]]
+
+    def candidates(self, codes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Step 2's segments after step 1's answers: start, end, document by id, and the key that chooses the bucket. Halves that are both shared make one segment."""
+        if codes is None or not codes.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        order, new = B.grouped(self.half)
+        code = np.empty(len(order), np.uint8)
+        code[order] = codes[np.cumsum(new) - 1]
+        halves = np.zeros((2, len(self.first)), np.uint8)
+        halves[0, self.left], halves[1, self.right] = code[: len(self.left)], code[len(self.left) :]
+        second = np.maximum(self.first, self.middle + 1)
+        pick = np.flatnonzero((halves == 1).any(axis=0))
+        start = np.where(halves[0, pick] == 1, self.first[pick], second[pick])
+        end = np.where(halves[1, pick] == 1, self.last[pick], self.middle[pick]) + self.length
+        doc, key = self.number[self.doc[pick]], self.gram[pick]
+        runs = [(np.flatnonzero(halves[0] > 1), self.first, self.middle), (np.flatnonzero(halves[1] > 1), second, self.last)]
+        for hot, a, z in runs:
+            if len(hot):
+                n = z[hot] - a[hot] + 1
+                s = _ranges(a[hot], n)
+                start, end = np.concatenate([start, s]), np.concatenate([end, s + self.length])
+                doc = np.concatenate([doc, np.repeat(self.number[self.doc[hot]], n)])
+                key = np.concatenate([key, T.mix(T.hashes(self.data, s, s + self.length, 0))])
         return start, end, doc, key
 
-    def distinct(self, start, end, doc, key):
-        """Distinct segments by key and content: one place of each, its smallest document, and the segment's index for each candidate."""
-        order = np.lexsort((doc, self.hash.of(start, end), key))
-        k, h, n = key[order], self.hash.of(start, end)[order], (end - start)[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])]) if len(order) else np.zeros(0, bool)
+    def distinct(self, start, end, doc, key) -> tuple[np.ndarray, np.ndarray]:
+        """Of each distinct segment one with the smallest document, in the order of keys; and each candidate's distinct segment."""
+        view = T.loads(self.data)
+        a, b = (T.hashes(self.data, start, end, lane, view) for lane in (0, 1))
+        order, new = B.grouped(key, a, b, (end - start).astype(np.uint64))
+        lead, group = B.leads(new)
         index = np.empty(len(order), np.int64)
-        index[order] = np.cumsum(new) - 1
-        return order[new], index
+        index[order] = group
+        if not len(order):
+            return order, index
+        least = np.minimum.reduceat(doc[order], lead)
+        one = np.empty(len(lead), np.int64)
+        is_least = doc[order] == least[group]
+        one[group[is_least]] = order[is_least]
+        return one, index
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them) of each."""
+    total = np.cumsum(n)
+    return np.repeat(start - (total - n), n) + np.arange(total[-1] if len(total) else 0)
 
 
 def _send_grams(length: int, buckets: int):
-    def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        uniq, _, two = Anchors(row, length).shared_sent()
-        edges = B.bucket_edges(uniq, buckets)
-        low = (uniq & _PLACE).astype(np.uint32)
-        for b in np.flatnonzero(np.diff(edges)):
-            i, j = edges[b], edges[b + 1]
-            yield int(b), low[i:j].tobytes() + two[i:j].tobytes()
+    def send(block: B.Block) -> Iterator[tuple[int, int, bytes]]:
+        a = Anchors(block, length)
+        if not len(a.half):
+            return
+        order, new, who = a.halves()
+        lead, _ = B.leads(new)
+        two = np.minimum.reduceat(who, lead) != np.maximum.reduceat(who, lead)
+        h = a.half[order[lead]]
+        low = (h & _LOW).astype(np.uint32)
+        for b, i, j in B.shares(h, buckets):
+            yield b, j - i, low[i:j].tobytes() + np.packbits(two[i:j]).tobytes()
 
     return send
 
 
 def _shared(hot: int):
-    def answer(_: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+    def answer(got: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         """0: one document only, 1: shared, 2: shared by very many blocks."""
-        counts = np.array([len(p) // 5 for p in payloads])
-        low = np.concatenate([np.frombuffer(p, np.uint32, c) for p, c in zip(payloads, counts, strict=True)])
-        two = np.concatenate([np.frombuffer(p, bool, offset=4 * c) for p, c in zip(payloads, counts, strict=True)])
-        order = np.argsort(low)
-        s = low[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        group = np.cumsum(new) - 1
-        blocks = np.bincount(group)
-        known = (blocks > 1) | (np.bincount(group, weights=two[order]) > 0)
+        low = np.concatenate([np.frombuffer(p, np.uint32, n) for _, n, p in got])
+        two = np.concatenate([np.unpackbits(np.frombuffer(p, np.uint8, offset=4 * n), count=n) for _, n, p in got])
+        both = (low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64)
+        both.sort()
+        s, order = both >> np.uint64(32), (both & _LOW).astype(np.int64)
+        lead, group = B.leads(np.concatenate([[True], s[1:] != s[:-1]]))
+        blocks = np.diff(lead, append=len(s))
+        known = (blocks > 1) | (np.maximum.reduceat(two[order], lead) > 0)
         out = np.empty(len(s), np.uint8)
-        out[order] = (known.astype(np.uint8) + (blocks >= hot))[group]
-        return [x.tobytes() for x in np.split(out, np.cumsum(counts)[:-1])]
+        out[order] = (known + (blocks >= hot).astype(np.uint8))[group]
+        return np.split(out, np.cumsum([n for _, n, _ in got])[:-1])
 
     return answer
 
 
+def _noted(start: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[int, bytes]:
+    """What a block notes of its candidates: where they start, the distinct segment that each is, and their sizes."""
+    note = _squeezed(np.diff(start, prepend=0).astype(np.int32).tobytes() + index.astype(np.uint32).tobytes() + size.astype(np.uint8).tobytes())
+    return len(note), note
+
+
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, behind its size."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _unsqueezed(data) -> np.ndarray:
+    view = memoryview(data)
+    return np.frombuffer(pa.decompress(pa.py_buffer(view[8:]), int.from_bytes(view[:8], "little"), "zstd"), np.uint8)
+
+
 def _send_segments(length: int, buckets: tuple[int, int]):
-    def send(row: dict) -> Iterator[tuple[int, bytes]]:
-        a = Anchors(row, length)
-        start, end, doc, key = a.candidates(row["a0"], buckets[0])
-        one, _ = a.distinct(start, end, doc, key)
-        fine = B.bucket_edges(key[one], buckets[1] * PARTS)
-        edges = fine[::PARTS]
-        for b in np.flatnonzero(np.diff(edges)):
-            i = one[edges[b] : edges[b + 1]]
-            parts = np.diff(fine[b * PARTS : (b + 1) * PARTS + 1]).astype(np.uint32)
-            sizes = (end[i] - start[i]).astype(np.uint8)
-            total = np.cumsum(sizes, dtype=np.int64)
-            body = a.data[np.repeat(start[i] - np.concatenate([[0], total[:-1]]), sizes) + np.arange(total[-1])]
-            yield int(b), parts.tobytes() + doc[i].astype(np.uint32).tobytes() + sizes.tobytes() + body.tobytes()
+    def send(block: B.Block) -> Iterator[tuple[int, int, bytes]]:
+        a = Anchors(block, length)
+        start, end, doc, key = a.candidates(block.bits(0, 2))
+        one, index = a.distinct(start, end, doc, key)
+        if len(start):
+            yield (-1, *_noted(start, end - start, index))
+        start, size, doc, key = start[one], (end - start)[one], doc[one], key[one]
+        low = (key & _LOW).astype(np.uint32)
+        for b, i, j in B.shares(key, buckets[1]):
+            docs, index = np.unique(doc[i:j], return_inverse=True)
+            head = np.array([len(docs), j - i], np.uint32).tobytes() + a.ids[docs].tobytes()
+            body = a.data[_ranges(start[i:j], size[i:j])]
+            n = int(size[i:j].sum()) - (j - i) * (length - 1)
+            yield b, n, _squeezed(head + low[i:j].tobytes() + index.astype(np.uint32).tobytes() + size[i:j].astype(np.uint8).tobytes() + body.tobytes())
 
     return send
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of ``text`` (small ints) in the order of at least their first ``depth`` symbols, by putting ranks of shorter prefixes together."""
-    width = int(text.max()).bit_length()
-    size = 62 // width
-    padded = np.concatenate([text, np.resize(text, size)]).astype(np.int64)
-    key = np.zeros(len(text), np.int64)
-    for j in range(size):
-        key = (key << width) | padded[j : j + len(text)]
+    n = len(text)
+    width = max(1, int(text.max()).bit_length())
+    size, rank = 1, text.astype(np.uint64)
     while True:
+        ways = 64 // width
+        ext = np.concatenate([rank, np.resize(rank, (ways - 1) * size)])
+        key = rank
+        for j in range(1, ways):
+            key = (key << np.uint64(width)) | ext[j * size : j * size + n]
+        size *= ways
         order = np.argsort(key)
         if size >= depth:
             return order
         s = key[order]
-        rank = np.empty(len(text), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]]))
-        bits = len(text).bit_length()
-        ways = max(2, 62 // bits)
-        key = rank
-        for j in range(1, ways):
-            key = (key << bits) | np.roll(rank, -(j * size % len(text)))
-        size *= ways
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])).astype(np.uint64)
+        width = max(1, int(rank[order[-1]]).bit_length())
 
 
 def long_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +271,8 @@ def long_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """
     order = suffix_order(text, length)
     bwt = text[order - 1]
-    i = np.argsort(bwt, kind="stable")  # the row that row p is reached from
+    small = bwt.astype(np.uint16) if text.max() < 1 << 16 else bwt  # sorted by counting
+    i = np.argsort(small, kind="stable")  # the row that row p is reached from
     chars = bwt[i]
     found = np.concatenate([[True], chars[1:] != chars[:-1]])  # common prefix 0
     p = np.flatnonzero(~found)
@@ -211,129 +291,176 @@ def long_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         p, low, high = p[stay], low[stay], high[stay]
         down, up = passed[low], passed[high]
         hit = down != up
-        low, high = low - down, high - up
+        low -= down
+        high -= up
     return order, found
 
 
+def letter_bytes(length: int) -> int:
+    """How many bytes a transform's letter has: strings are whole numbers of letters, and a letter fits a number."""
+    return max(k for k in range(1, 6) if length % k == 0)
+
+
 def smallest_holders(body: np.ndarray, start: np.ndarray, size: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """For every string of the segments [start, start + size) of ``body``, segment by segment: the smallest rank of a segment that holds it."""
-    n = size + 1
+    """For every string of the segments [start, start + size) of ``body``, segment by segment: the smallest rank of a segment that holds it.
+
+    The transform's text has letters of several bytes, so its intervals reach ``length`` bytes in fewer levels: of each segment, the letters from its first
+    byte on, then those from its second byte on, and so on.
+    """
+    unit = letter_bytes(length)
+    k = np.arange(unit)
+    letters = np.maximum((size[:, None] - k) // unit, 0)  # of each segment and first byte
+    n = (letters + 1).ravel()
     place = np.cumsum(n) - n
-    inside = np.repeat(start - place, n) + np.arange(n.sum())
-    last = place + size
+    inside = np.repeat((start[:, None] + k).ravel() - place * unit, n) + np.arange(n.sum()) * unit
+    last = place + letters.ravel()
     inside[last] = 0
-    used = np.zeros(256, np.uint16)
-    used[np.unique(body[inside])] = 1
-    text = np.cumsum(used, dtype=np.uint16)[body[inside]]  # letters from 1; 0 parts the segments
-    text[last] = 0
-    rows, begins = long_groups(text, length)
+    value = T.loads(body)[inside] & np.uint64((1 << 8 * unit) - 1)
+    value[last] = 0
+    both = (value << np.uint64(24)) | np.arange(len(value), dtype=np.uint64)
+    both.sort()
+    place_of = (both & np.uint64(0xFFFFFF)).astype(np.int64)
+    both >>= np.uint64(24)
+    text = np.empty(len(value), np.int64)
+    text[place_of] = np.cumsum(np.concatenate([[True], both[1:] != both[:-1]]))
+    text[last] = 0  # parts the runs of letters
+    rows, begins = long_groups(text, length // unit)
     # strings start where at least ``length`` bytes of the segment are left
+    strings = letters.ravel() - length // unit + 1
     is_string = np.zeros(len(text) + 1, np.int8)
-    is_string[place] += 1
-    is_string[place + n - length] -= 1
+    some = np.flatnonzero(strings > 0)
+    is_string[place[some]] = 1
+    is_string[place[some] + strings[some]] -= 1
     is_string = np.cumsum(is_string[:-1], dtype=np.int8) > 0
-    who = np.repeat(rank, n)
-    at = np.flatnonzero(is_string[rows])
-    group = np.cumsum(begins)[at]
+    who = np.repeat(np.repeat(rank, unit), n)
+    at = rows[is_string[rows]]
+    group = np.cumsum(begins)[is_string[rows]]
     lead = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.minimum.reduceat(who[rows[at]], lead)
-    who[rows[at]] = np.repeat(least, np.diff(np.concatenate([lead, [len(at)]])))
-    return who[is_string]
+    who[at] = np.repeat(np.minimum.reduceat(who[at], lead), np.diff(lead, append=len(at)))
+    # back to the order of the bytes: string j of a segment is letter j // unit of the run that starts at byte j % unit
+    m = size - length + 1
+    j = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    return who[place[np.repeat(np.arange(len(size)) * unit, m) + j % unit] + j // unit]
+
+
+def _received(got: list[tuple[int, int, bytes]]):
+    """A bucket's segments: low bits of their keys, their documents' ids, sizes and bytes, and how many each sender sent."""
+    low, ids, size, body, counts = [], [], [], [], []
+    for _, _, p in got:
+        raw = _unsqueezed(p)
+        d, n = raw[:8].view(np.uint32).tolist()
+        table, raw = raw[8 : 8 + 8 * d].view(np.uint64), raw[8 + 8 * d :]
+        low.append(raw[: 4 * n].view(np.uint32))
+        ids.append(table[raw[4 * n : 8 * n].view(np.uint32)])
+        size.append(raw[8 * n : 9 * n])
+        body.append(raw[9 * n :])
+        counts.append(n)
+    return np.concatenate(low), np.concatenate(ids), np.concatenate(size).astype(np.int64), np.concatenate(body), counts
 
 
 def _expand(length: int):
-    def answer(block: np.ndarray, payloads: list[bytes]) -> list[bytes]:
+    def answer(got: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
         """For each segment and each string in it: does a smaller document than the segment's smallest hold the string?"""
-        parts, docs, sizes, bodies = [], [], [], []
-        for p in payloads:
-            parts.append(np.frombuffer(p, np.uint32, PARTS))
-            n = int(parts[-1].sum())
-            docs.append(np.frombuffer(p, np.uint32, n, 4 * PARTS))
-            sizes.append(np.frombuffer(p, np.uint8, n, 4 * PARTS + 4 * n))
-            bodies.append(np.frombuffer(p, np.uint8, offset=4 * PARTS + 5 * n))
-        counts = np.array([len(d) for d in docs])
-        part = np.repeat(np.tile(np.arange(PARTS), len(payloads)), np.concatenate(parts))
-        owner = (np.repeat(block, counts).astype(np.int64), np.concatenate(docs).astype(np.int64))
-        size, body = np.concatenate(sizes).astype(np.int64), np.concatenate(bodies)
-        rank = np.empty(len(size), np.int64)
-        by = np.lexsort((owner[1], owner[0]))
-        new = np.concatenate([[True], (owner[0][by][1:] != owner[0][by][:-1]) | (owner[1][by][1:] != owner[1][by][:-1])])
-        rank[by] = np.cumsum(new)  # documents of this bucket, numbered in their order
+        low, ids, size, body, counts = _received(got)
         start = np.cumsum(size) - size
-        # segments that several blocks sent are taken once, with the smallest document
-        h0, h1 = B.Prefix(body).of(start, start + size), B.Prefix(body, 1).of(start, start + size)
-        order = np.lexsort((rank, h1, h0, part))
-        new = np.concatenate([[True], (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (part[order][1:] != part[order][:-1])])
-        one = order[new]
-        index = np.empty(len(size), np.int64)
-        index[order] = np.cumsum(new) - 1
-        cuts = np.searchsorted(part[one], np.arange(PARTS + 1))
-        smallest = np.concatenate([smallest_holders(body, start[k], size[k], rank[k], length) for k in (one[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)) if len(k)])
-        # back to every segment that was sent
+        view = T.loads(body)
+        a, b = (T.hashes(body, start, start + size, lane, view) for lane in (0, 1))
+        # segments that several blocks sent are taken once, with the smallest document, anchor by anchor
+        order, new = B.grouped((low.astype(np.uint64) << np.uint64(32)) | (a >> np.uint64(32)), low.astype(np.uint64), a, b, size.astype(np.uint64))
+        lead, group = B.leads(new)
+        index = np.empty(len(order), np.int64)
+        index[order] = group
+        least = np.minimum.reduceat(ids[order], lead)
+        one = order[lead]
         strings = size[one] - length + 1
         place = np.cumsum(strings) - strings
+        smallest = np.repeat(least, strings)
+        anchor = low[one]
+        begins = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        alone = begins & np.concatenate([begins[1:], [True]])
+        differ = np.flatnonzero(~alone)
+        for k in _portions(differ, begins[differ], size[one[differ]]):
+            smallest[_ranges(place[k], strings[k])] = smallest_holders(body, start[one[k]], size[one[k]], least[k], length)
+        # back to every segment that was sent
         n = size - length + 1
-        where = np.repeat(place[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bits = smallest[where] < np.repeat(rank, n)
-        ends = np.cumsum(np.add.reduceat(n, np.cumsum(counts) - counts))[:-1]
-        return [np.packbits(x).tobytes() for x in np.split(bits, ends)]
+        out = (smallest[_ranges(place[index], n)] < np.repeat(ids, n)).astype(np.uint8)
+        return np.split(out, np.cumsum([k for _, k, _ in got])[:-1])
 
     return answer
 
 
-def _finish(length: int, buckets: tuple[int, int]):
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {n: c[0].as_py() for n, c in zip(b.schema.names, b.slice(r, 1).columns, strict=True)}
-                a = Anchors(row, length)
-                start, end, doc, key = a.candidates(row["a0"], buckets[0])
-                one, index = a.distinct(start, end, doc, key)
-                n = (end - start)[one] - length + 1
-                edges = B.bucket_edges(key[one], buckets[1] * PARTS)[::PARTS]
-                cum = np.concatenate([[0], np.cumsum(n)])
-                bits = B.bits_of(row["a1"], cum[edges])
-                # each candidate's strings: an earlier document than the segment's smallest has it, or that smallest is not this one
-                m = n[index]
-                offset = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                gone = bits[np.repeat(cum[index], m) + offset] | np.repeat(doc > doc[one][index], m)
-                removed = B.covered((np.repeat(start, m) + offset)[gone], length, len(a.data))
-                yield pa.RecordBatch.from_arrays(_cut(a, row["doc_ids"], removed), names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _portions(which: np.ndarray, begins: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of segments of about TEXT bytes that part no anchor."""
+    total = np.concatenate([[0], np.cumsum(size + 1)])
+    cuts = np.concatenate([np.flatnonzero(begins), [len(which)]])
+    i = 0
+    while i < len(which):
+        c = cuts[max(0, int(np.searchsorted(total[cuts], total[i] + TEXT, "right")) - 1)]
+        j = int(c) if c > i else int(cuts[np.searchsorted(cuts, i, "right")])
+        yield which[i:j]
+        i = j
 
-    return finish
 
+def _finish(length: int):
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.blocks_of(batches):
+            gone, bits, note = np.zeros(0, np.int64), block.bits(1), block.note(1)
+            copies = np.flatnonzero(block.copies(strict=True) & (np.diff(block.at) >= length))
+            if bits is not None and len(note):
+                note = _unsqueezed(note)
+                m = len(note) // 9
+                start, index = np.cumsum(note[: 4 * m].view(np.int32), dtype=np.int64), note[4 * m : 8 * m].view(np.uint32).astype(np.int64)
+                n = note[8 * m :].astype(np.int64) - length + 1
+                number = np.unique(block.ids, return_inverse=True)[1]
+                doc = number[np.searchsorted(block.at, start, "right") - 1]
+                # of each distinct segment: how many strings it has, and its smallest document
+                order = np.argsort(index, kind="stable")
+                lead = np.flatnonzero(np.diff(index[order], prepend=-1))
+                strings, least = n[order[lead]], np.minimum.reduceat(doc[order], lead)
+                place = np.cumsum(strings) - strings
+                # a candidate's strings: an earlier document than the segment's smallest has it, or that smallest is not this one
+                hit = bits[_ranges(place[index], n)].astype(bool) | np.repeat(doc > least[index], n)
+                gone = _ranges(start, n)[hit]
+            if len(copies):  # all strings of theirs
+                gone = np.concatenate([gone, _ranges(block.at[copies], np.diff(block.at)[copies] - length + 1)])
+            gone.sort()
+            yield pa.RecordBatch.from_arrays(_cut(block, gone, length), names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-def _cut(a: Anchors, doc_ids: list, removed: np.ndarray) -> list[pa.Array]:
-    n = len(doc_ids)
-    inside = np.zeros(len(a.data), bool)
-    size = a.doc_ends - a.doc_starts
-    sums = np.concatenate([[0], np.cumsum(removed)])
-    gone = sums[a.doc_ends] - sums[a.doc_starts]
-    begins = np.flatnonzero(removed & np.concatenate([[True], ~removed[:-1]]))
-    spans = np.bincount(np.searchsorted(a.doc_starts, begins, "right") - 1, minlength=n)
-    inside[:] = ~removed
-    inside[a.doc_ends] = False  # what parts the documents
-    offsets = np.concatenate([[0], np.cumsum(size - gone)]).astype(np.int64)
-    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(a.data[inside].tobytes())])
-    return [pa.array(doc_ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), kept.cast(pa.binary())]
+    return finish
 
 
-def remove_shared(docs: DataFrame, length: int = 50, hot: int = 512, block_bytes: int = 1 << 20, bucket_bytes: float = 3e6) -> DataFrame:
+def _cut(block: B.Block, gone: np.ndarray, length: int) -> list[pa.Array]:
+    """The block's texts less the bytes of the strings that start at ``gone``, in order."""
+    at, size = block.at, np.diff(block.at)
+    # runs of strings that touch, each within a text
+    parted = np.ones(len(gone) + 1, bool)
+    np.greater(gone[1:] - gone[:-1], length, out=parted[1:-1])
+    parted[np.searchsorted(gone, at[1:-1])] = True
+    parted[-1] = True
+    begin, end = gone[parted[:-1]], gone[parted[1:]] + length
+    run_at = np.searchsorted(begin, at)
+    total = np.concatenate([[0], np.cumsum(end - begin)])[run_at]
+    removed, spans = np.diff(total), np.diff(run_at)
+    offsets = np.concatenate([[0], np.cumsum(size - removed)])
+    view = memoryview(block.data)
+    body = b"".join(view[i:j] for i, j in zip([0, *end.tolist()], [*begin.tolist(), len(block.data)], strict=True))
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)])
+    return [block.doc_ids, *(pa.array(x, pa.int64()) for x in (size, removed, spans)), kept.cast(pa.binary())]
+
+
+def remove_shared(docs: DataFrame, length: int = 50, hot: int = 128, block_bytes: int = 4 << 20, bucket_bytes: float = 8e6) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every document of ``docs``.
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of smaller doc_id. ``length`` is 2 * GRAM
     to 128 (a segment's size fits a byte).
     """
     if not 2 * GRAM <= length <= 128:
-        raise ValueError("length must be 32 to 128")
-    spark = docs.sparkSession
+        raise ValueError(f"length must be {2 * GRAM} to 128")
     blocks = B.build(docs, block_bytes)
-    B.free_shuffles(spark)
     total = B.text_bytes(blocks)
-    # an anchor every 16 bytes or so, 5 bytes each; then about a third of them again with segments of 70 bytes
-    buckets = (B.number_of_buckets(total / 16 * 5, bucket_bytes), B.number_of_buckets(total / 16 * 0.3 * 70, bucket_bytes))
-    shared = B.exchange(blocks, _send_grams(length, buckets[0]), _shared(hot))
-    B.free_shuffles(spark)
-    found = B.exchange(B.with_answers(blocks, [shared]), _send_segments(length, buckets), _expand(length))
-    B.free_shuffles(spark)
-    return B.with_answers(blocks, [shared, found]).mapInArrow(_finish(length, buckets), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    # an anchor every 16 bytes or so, two halves of 4 bytes each; then about a quarter of them again with segments of 75 bytes
+    buckets = (B.number_of_buckets(total / 16 * 8, bucket_bytes), B.number_of_buckets(total / 16 * 0.25 * 75, bucket_bytes))
+    known = {"c": B.copies(blocks, strict=True)}
+    shared = B.exchange(B.with_answers(blocks, known), _send_grams(length, buckets[0]), _shared(hot), 2)
+    found = B.exchange(B.with_answers(blocks, known | {0: shared}), _send_segments(length, buckets), _expand(length))
+    return B.with_answers(blocks, known | {1: found}).mapInArrow(_finish(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

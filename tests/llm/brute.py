@@ -16,16 +16,18 @@ def ordered(docs):
 
 
 def suffix(docs, length):
+    """Rows that share an id are one document; null is an id of its own, before all others."""
     rows = [(i, (t or "").encode()) for i, t in ordered(docs)]
+    rank = lambda i: (i is not None, i or 0)
     first = {}
-    for k, (_, b) in enumerate(rows):
+    for i, b in rows:
         for j in range(len(b) - length + 1):
-            first.setdefault(b[j : j + length], k)
+            first.setdefault(b[j : j + length], rank(i))
     out = []
-    for k, (i, b) in enumerate(rows):
+    for i, b in rows:
         gone = [False] * len(b)
         for j in range(len(b) - length + 1):
-            if first[b[j : j + length]] < k:
+            if first[b[j : j + length]] < rank(i):
                 gone[j : j + length] = [True] * length
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
         out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
@@ -92,10 +94,11 @@ def nulls_first(rows):
 def line_dedup(docs, min_docs, min_chars=1):
     blank = " \t\n\x0b\x0c\r"
     keys = [[lower(x.strip(blank)) for x in (t or "").split("\n")] for _, t in docs]
-    count = {}
-    for k in keys:
-        for x in set(k):
-            count[x] = count.get(x, 0) + 1
+    holders = {}  # rows that share an id are one document
+    for (i, _), k in zip(docs, keys):
+        for x in k:
+            holders.setdefault(x, set()).add(i)
+    count = {x: len(ids) for x, ids in holders.items()}
     out = []
     for (i, t), k in zip(docs, keys):
         lines = (t or "").split("\n")

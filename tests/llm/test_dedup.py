@@ -50,14 +50,11 @@ def test_interval_expansion(letters, length):
 
 def test_near(docs, rows, clashing, empty, monkeypatch):
     want = brute.nulls_first(brute.near(rows))
-    assert collected(near_dedup.link(docs).drop("row")) == want
+    assert collected(near_dedup.link(docs).drop("row", "row_b")) == want
     monkeypatch.setattr(near_dedup, "SMALL", 2)  # nearly every list goes through the components of its centre
     monkeypatch.setattr(near_dedup, "CELL", 4)
-    assert collected(near_dedup.link(clashing).drop("row")) == want
+    assert collected(near_dedup.link(clashing).drop("row", "row_b")) == want
     assert collected(near_dedup.link(empty)) == []
-    kept = near_dedup.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == sum(r[3] for r in want)
 
 
 def test_one_a_component(spark, docs, rows):
@@ -94,7 +91,7 @@ def test_near_chain(spark):
         step = step[4:] + ["s%d_%d" % (i, k) for k in range(4)]
         rows.append((i, " ".join(step)))
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert collected(near_dedup.link(d).drop("row")) == brute.nulls_first(brute.near(rows))
+    assert collected(near_dedup.link(d).drop("row", "row_b")) == brute.nulls_first(brute.near(rows))
 
 
 def test_components(spark):
@@ -116,15 +113,73 @@ def test_line_runs(spark):
     """Runs are compacted, settled keys are not counted on, and sums are those of all batches."""
     runs = line_dedup.LineRuns(spark, limit=5, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(b"a", 3), (b"k%d" % k, 1), (b"c", 1)], "key binary, n bigint"))
-    n = {bytes(r.key): r.n for r in runs.counts().collect()}
-    assert n[b"a"] == 6 and n[b"c"] == 5 and n[b"k3"] == 1
+        runs.add(spark.createDataFrame([(1, 1, 3), (10 + k, 0, 1), (3, 3, 1)], "a bigint, b bigint, n bigint"))
+    n = {r.a: r.n for r in runs.counts().collect()}
+    assert n[1] == 6 and n[3] == 5 and n[13] == 1
     assert sum(map(len, runs.levels)) <= 3
-    assert {bytes(r.key) for r in runs.settled().collect()} == {b"a", b"c"}
+    assert {r.a for r in runs.settled().collect()} == {1, 3}
+    # another session goes on with the same store
+    again = line_dedup.LineRuns(spark, limit=5, fanout=2, folder=runs.folder)
+    assert [len(x) for x in again.levels] == [len(x) for x in runs.levels]
+    again.add(spark.createDataFrame([(13, 0, 4)], "a bigint, b bigint, n bigint"))
+    assert {r.a for r in again.settled().collect()} == {1, 3, 13}
+    # a batch is dealt and sorted once, the runs are read as they lie
+    more = again.fresh(spark.createDataFrame([(1, 1, 1), (77, 0, 2)], "a bigint, b bigint, n bigint"))
+    plan = more._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1 and plan.count("SortMergeJoin") == sum(map(len, again.levels)) >= 1, plan
+    assert [tuple(r) for r in more.collect()] == [(77, 0, 2)]
 
 
 def test_other_corpus(spark):
     rows = corpus(seed=9, n=40)
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     assert collected(suffix_dedup.remove_shared(d, block_bytes=1500)) == brute.nulls_first(brute.suffix(rows, 50))
-    assert collected(near_dedup.link(d).drop("row")) == brute.nulls_first(brute.near(rows))
+    assert collected(near_dedup.link(d).drop("row", "row_b")) == brute.nulls_first(brute.near(rows))
+
+
+def test_repeated_and_missing_ids(spark):
+    """Rows that share an id are one document, null is an id of its own: the same meaning for bytes, words and lines."""
+    w = ["u%d" % i for i in range(60)]
+    a, b = " ".join(w), " ".join(w[:40])
+    rows = [(1, a), (1, a), (None, b), (None, b + "\nline"), (7, a + "\nline"), (7, "line"), (7, "line"), (8, "line"), (-3, None), (9, "")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for got in (suffix_dedup.remove_shared(d), suffix_dedup.remove_shared(d, hot=2, block_bytes=100)):
+        assert collected(got) == brute.nulls_first(brute.suffix(rows, 50))
+    for got in (substring_dedup.remove_repeats(d), substring_dedup.remove_repeats(d, block_bytes=100)):
+        assert sorted((r[0] or -99, r[1]) for r in collected(got)) == sorted((i or -99, len((t or "").split())) for i, t in rows)
+        kept = [r for r in collected(got) if r[0] == 1]
+        assert [r[2] for r in kept] == [60, 40] or [r[2] for r in kept] == [40, 60]  # of equal rows one keeps what no smaller document has
+    cols = ["doc_id", "n_lines", "n_dropped", "text"]
+    assert collected(line_dedup.dedup_lines(d, min_docs=3).select(*cols)) == brute.nulls_first(brute.line_dedup(rows, 3))
+
+
+def test_very_long_texts(spark):
+    """One text of some megabytes: several chunks, one block."""
+    import random
+
+    rng = random.Random(4)
+    vocab = ["v%d" % i for i in range(5000)]
+    long = " ".join(rng.choices(vocab, k=300_000))
+    part = long[1_000_000:1_000_400]
+    rows = [(1, "x" * 60 + part), (2, long), (3, "y" * 700 + " z")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove_shared(d).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 400, 1, 0)
+    assert bytes(got[2].kept).decode() == long[:1_000_000] + long[1_000_400:]
+    words = {r.doc_id: r for r in substring_dedup.remove_repeats(d).collect()}
+    assert words[2].n_words == 300_000 and 60 <= words[2].n_removed <= 85
+    assert near_dedup.link(d).count() == 3 and line_dedup.dedup_lines(d).count() == 3
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=10, max_size=40), min_size=1, max_size=6), st.sampled_from([4, 5, 6, 10]))
+def test_smallest_holders(segments, length):
+    """Through letters of several bytes, each string's smallest holder is the plain one."""
+    import numpy as np
+
+    body = np.frombuffer("".join(segments).encode(), np.uint8)
+    size = np.array([len(x) for x in segments])
+    rank = np.arange(len(segments))[::-1].astype(np.uint64)
+    got = suffix_dedup.smallest_holders(body, np.cumsum(size) - size, size, rank, length).tolist()
+    strings = [(x[i : i + length], int(r)) for x, r in zip(segments, rank) for i in range(len(x) - length + 1)]
+    assert got == [min(r for t, r in strings if t == s) for s, _ in strings]

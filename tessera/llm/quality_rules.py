@@ -7,58 +7,70 @@ shrunk rate passes ``host_limit`` fail with all their documents.
 The counts are cut to a narrow table first (no text in it), so texts are read once and never shuffled. The sums by host are
 combined in each task before the shuffle; the join back takes Spark's own broadcast or skew-split join, as sizes tell.
 
-Defined results: a null or empty text has no words and fails; documents without a host are judged alone; repeated rows are
-rows of their own; extra columns of ``docs`` are not read; an empty table gives an empty table.
+Windows of three words that occur twice in a text are found by sorting one number a window: its hash above its place. Neighbours with equal hashes are
+confirmed on their words.
+
+Defined results: a null or empty text has no words and fails; a text of any length is judged whole; documents without a host are judged alone; repeated rows are
+rows of their own; equal rates fall on the same side of the limit (a rate at the limit passes); extra columns of ``docs`` are not read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-WORD = r"([^\x20\x09-\x0D]+)"
+BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def counts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every document.
+def _again(s: Column, bits: Column) -> Column:
+    """(place, place) of neighbours with one hash as one number, of the sorted numbers ``s``: hash above place of ``bits`` bits."""
+    place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)
+    alike = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0
+    n = F.size(s) - 1
+    pairs = F.zip_with(F.slice(s, 1, n), F.slice(s, 2, n), lambda x, y: F.when(alike(x, y), F.shiftleft(place(x), 31) + place(y)).otherwise(F.lit(-1)))
+    return F.when(n > 0, F.array_remove(pairs, F.lit(-1).cast("bigint")))
 
-    Windows of three words are compared by a 64-bit hash within one document.
-    """
+
+def counts(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    flat = text
+    for c in BLANKS[1:]:
+        flat = F.replace(flat, F.lit(c), F.lit(" "))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     d = docs.select(
         F.col("doc_id"),
         F.col(host).alias("host"),
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(1)).alias("w"),
+        flat.alias("flat"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        lines.alias("l"),
+        F.when(F.contains(text, F.lit("\n")), lines).alias("l"),
     )
-    w = F.col("w")
-    three = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])))
     d = d.select(
         "doc_id",
         "host",
-        F.size(w).cast("bigint").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+        F.length(F.replace("flat", F.lit(" "))).cast("bigint").alias("word_chars"),
         "n_symbols",
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        three.alias("t"),
+        F.coalesce(F.size(F.col("l")) - F.size(F.array_distinct("l")), F.lit(0)).cast("bigint").alias("n_dup_lines"),
+        F.array_remove(F.split("flat", " ", -1), "").alias("w"),
     )
-    again = F.size(F.array_distinct("t")) < F.size("t")
-    d = d.withColumn("s", F.when(again, F.sort_array(F.transform("t", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("t")
-    s = F.col("s")
-    # the windows equal to a neighbour in the sorted list, by position
-    twice = F.filter(s, lambda x, j: ((j > 0) & (F.get(s, j - 1)["h"] == x["h"])) | ((j < F.size(s) - 1) & (F.get(s, j + 1)["h"] == x["h"])))
-    at = F.sort_array(F.transform(twice, lambda x: x["i"]))
+    w = F.col("w")
+    bits = F.length(F.bin(F.size(w)))
+    three = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.call_function("shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]), bits).bitwiseOR(i.cast("bigint")))
+    d = d.withColumn("n_words", F.size("w").cast("bigint")).withColumn("t", F.when(F.size(w) >= 4, F.sort_array(three)))
+    d = d.withColumn("bits", bits).withColumn("p", _again(F.col("t"), F.col("bits"))).drop("t", "bits")
+    first, second = (lambda x: F.shiftright(x, 31).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    alike = lambda x: (w[first(x)] == w[second(x)]) & (w[first(x) + 1] == w[second(x) + 1]) & (w[first(x) + 2] == w[second(x) + 2])
+    d = d.withColumn("p", F.when(F.size("p") > 0, F.filter("p", alike))).drop("w")
+    at = F.sort_array(F.array_union(F.transform("p", first), F.transform("p", second)))
     covered = F.aggregate(
         at,
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")),
     )["n"]
-    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("s")
+    return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("p")
 
 
 def base_failed():

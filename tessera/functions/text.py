@@ -40,7 +40,7 @@ YEAR_SHORT = r"(?<!\d)(20\d{2})[\s_]*年?[\s_]*年报[\s_]*(?:[（(][^）)]*[）
 #: Characters of readable pages.
 READABLE = r"[一-鿿＀-￯　-〿A-Za-z0-9 \n\r\t.,;:%()\[\]（）【】・·—–\-+/=]"
 PAGE_NUMBER = r"^\s*(\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|第\s*\d+\s*页|共\s*\d+\s*页)\s*$"
-DOT_LEADER = r"^.{2,60}(\.{4,}|…{2,})\s*\d+$"
+DOT_LEADER = r".{2,60}(\.{4,}|…{2,})\s*\d+"
 STOPWORDS = "的 了 和 与 及 或 为 在 是 等 有 中 上 下 之 其 该 本 我们 公司 以及 其中".split()
 TOKEN = r"[\p{L}\p{N}]{2,}"
 
@@ -65,7 +65,8 @@ def canon(t: Column) -> Column:
 
 
 def is_dot_leader(t: Column) -> Column:
-    return strip(t).rlike(DOT_LEADER)
+    blank = r"[\s\x1c-\x1f]"
+    return F.coalesce(t, F.lit("")).rlike(rf"(?U)\A{blank}*(?!{blank}){DOT_LEADER}{blank}*\z")
 
 
 def is_page_number(t: Column) -> Column:

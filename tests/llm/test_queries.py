@@ -71,3 +71,16 @@ def test_pipeline(spark):
     assert {i for i, _ in kept[3]} == {i for i, _ in kept[2]} - {r[0] for r in brute.contained(kept[2], items)}
     n = {i: len(brute.WORD.findall(t)) for i, t in kept[3]}
     assert kept[4].groupby("doc_id")["length"].sum().to_dict() == {i: k for i, k in n.items() if k}
+
+
+def test_pipeline_takes_awkward_rows(spark, clashing):
+    """Nulls, repeated rows, columns with clashing names, and no rows at all."""
+    import corpus_pipeline as P
+    from tessera.session import cut
+
+    for docs in (clashing, clashing.limit(0)):
+        for k, (_, f) in enumerate(P.STAGES):
+            before, docs = docs, cut(f(spark, docs, SF))
+            if k + 1 < len(P.STAGES):
+                assert docs.columns == before.columns and docs.count() <= before.count()
+        assert (docs.count() > 0) == (before.count() > 0)

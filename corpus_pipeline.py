@@ -5,7 +5,8 @@ All stages but the last return the columns of ``documents``; the last returns wh
 
 Defined results, in every stage: a null text counts as empty (and stays null until line dedup makes it empty); a text of any length is worked on whole; of equal rows all are kept
 or none, but near-dedup keeps one of them; rows that share a doc_id are judged by themselves, but count as one document where lines are counted; ties go to the least doc_id (nulls
-last), then to the least hash of the row; an empty table gives an empty table; other columns go through untouched, whatever their names.
+last), then to the least hash of the row; an empty table gives an empty table; other columns go through untouched, whatever their names,
+but n_chars follows the text, and columns named n_lines or n_dropped are replaced by line dedup's.
 """
 
 from __future__ import annotations
